@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The six characters \x20 and \x09-\x0D separate words everywhere.
-SPACES = " \t\n\x0b\f\r"
 WORD_BREAK = "[\\x20\\x09-\\x0D]+"
+WORD = "[^\\x20\\x09-\\x0D]"
 
 _own_folder: list[str] = []
 
@@ -55,12 +55,13 @@ def let(value: Column, body) -> Column:
 
 def words(text: Column) -> Column:
     """All [^\\x20\\x09-\\x0D]+ of a text in order; null and blank texts have none."""
-    return let(F.trim(F.coalesce(text, F.lit("")), F.lit(SPACES)), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, WORD_BREAK)))
+    return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), lambda w: w != "")
 
 
 def n_words(text: Column) -> Column:
-    trimmed = F.trim(F.coalesce(text, F.lit("")), F.lit(SPACES))
-    return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, WORD_BREAK))).cast("long")
+    t = F.coalesce(text, F.lit(""))
+    ends = F.when(t.rlike(f"^{WORD_BREAK}"), 1).otherwise(0) + F.when(t.rlike(f"[\\x20\\x09-\\x0D]\\z"), 1).otherwise(0)
+    return F.when(t.rlike(WORD), F.size(F.split(t, WORD_BREAK)) - ends).otherwise(0).cast("long")
 
 
 def own_name(df: DataFrame, name: str) -> str:

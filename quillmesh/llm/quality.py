@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, let, words
+from .common import WORD, let, words
 
 #: Words of a repeated window.
 WINDOW = 5
@@ -61,8 +61,8 @@ def repeat_words(ws: Column, window: int = WINDOW) -> Column:
         tagged = F.array_sort(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.lit(0)).otherwise(let(tagged, runs))
 
-    # Two independent 64-bit hashes of the window's words stand for it.
-    key = lambda i: F.struct(F.xxhash64(*[F.get(ws, i + k) for k in range(window)]), F.hash(*[F.get(ws, i + k) for k in range(window)]))
+    # A 64-bit hash stands for the window's words; array_distinct() is linear on numbers, but not on structs.
+    key = lambda i: F.xxhash64(*[F.get(ws, i + k) for k in range(window)])
     keys = F.transform(F.sequence(F.lit(0), F.size(ws) - window), key)
     return F.when(F.size(ws) <= window, F.lit(0)).otherwise(let(keys, counted))
 
@@ -73,14 +73,14 @@ def metrics(text: Column) -> Column:
     stops = sorted({v for w in " ".join(STOP_WORDS.values()).split() for v in (w, w.capitalize())})
 
     def of(ws: Column) -> Column:
-        lines = F.filter(F.split(t, "\n", -1), lambda x: F.trim(x, F.lit(SPACES)) != "")
+        lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD))
         by_line = let(lines, lambda ls: F.struct(F.size(ls).alias("n"), (F.size(ls) - F.size(F.array_distinct(ls))).alias("dup")))
         return let(
             by_line,
             lambda ln: F.struct(
                 F.size(ws).cast("long").alias("n_words"),
-                F.length(F.translate(t, SPACES, "")).cast("long").alias("word_chars"),
-                (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+                F.length(F.array_join(ws, "")).cast("long").alias("word_chars"),
+                (F.length(t) - F.length(F.regexp_replace(t, f"[{SYMBOLS}]", ""))).cast("long").alias("n_symbols"),
                 ln["dup"].cast("long").alias("n_dup_lines"),
                 repeat_words(ws).cast("long").alias("n_repeat_words"),
                 F.size(F.filter(ws, lambda w: w.isin(stops))).cast("long").alias("n_stop_words"),
