@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Entries of one of the two generations of a worker's memo; pre-tokens longer than MEMO_CHARS are not kept.
-MEMO = 120_000
+MEMO = 250_000
 MEMO_CHARS = 64
 #: Rows worked on at a time inside an Arrow batch.
 ROWS = 256
