@@ -1 +1 @@
-
+"""Author-disambiguation analytics on Spark."""

@@ -1 +1 @@
-
+"""Columns: text, names, vectors, judge answers."""

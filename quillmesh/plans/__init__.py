@@ -1 +1 @@
-
+"""Whole runs and registered queries."""

@@ -1 +1 @@
-
+"""The engine reads complete inputs; nothing in its operators is a stream, so there is no streaming operator here."""

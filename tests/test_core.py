@@ -1,0 +1,289 @@
+"""Names, text, folds, metrics, judging, sinks and whole runs."""
+
+import json
+import random
+from itertools import combinations
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillmesh.functions import decisions, names, text
+from quillmesh.functions.stem import stem
+from quillmesh.operators import clusters, embedding, generative, judging, metrics, sampling
+from quillmesh.report import charts, tables
+from quillmesh.sources import records, sinks
+
+BIB = "row_index long, ambiguous_name string, paper_id string, author_name string, coauthors array<string>, title string, venue string, label string"
+NAMES = [
+    ("R Bettati", "Riccardo Bettati", True), ("Rajakumar S", "S Rajakumar", True), ("José Álvarez", "Jose Alvarez", True), ("J Smith", "K Smith", False),
+    ("Smith", "John Smith", True), ("", "", False), ("王伟", "王伟", False), ("ab ac", "a ab", False), ("a ab", "ab ac", True),
+]
+
+
+def test_names(spark):
+    rows = spark.createDataFrame(NAMES, "a string, b string, want boolean").select("*", text.tokens(F.col("a")).alias("ta"), text.tokens(F.col("b")).alias("tb"))
+    for r in rows.select("*", names.similar_tokens(F.col("ta"), F.col("tb")).alias("got")).collect():
+        assert r["got"] == r["want"] == names.names_match(tuple(r["ta"]), tuple(r["tb"])), r
+
+
+def test_keys(spark):
+    want = {"Riccardo Bettati": {"exact:bettati:riccardo", "part:riccardo:b", "part:bettati:r"}, "R Bettati": {"exact:bettati:r", "part:bettati:r"}, "Bettati": {"only:bettati"}, "": set()}
+    rows = spark.createDataFrame([(n,) for n in want], "n string").select("n", text.tokens(F.col("n")).alias("t"))
+    assert {r["n"]: set(r["k"]) for r in rows.select("n", names.keys_of_tokens(F.col("t")).alias("k")).collect()} == want
+
+
+def test_text(spark):
+    values = ["ﬁne ÉTÉ Straße", "plain ASCII", None, "Ⅷ ² K"]
+    got = [r[0] for r in spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v string, i int").orderBy("i").select(text.fold(F.col("v"))).collect()]
+    assert got == ["fine ete straße", "plain ascii", None, "viii 2 k"]
+    row = spark.range(1).select(text.terms(F.lit("The studies of running runners and a study")).alias("t")).first()
+    assert row["t"] == {"studi": 1, "run": 1, "runner": 1}
+    docs = spark.createDataFrame([(" a ", " v "), ("b", " \t")], "t string, v string").select(text.document_text(F.col("t"), F.col("v")))
+    assert [r[0] for r in docs.collect()] == ["Title: a\nVenue: v", "Title: b"]
+    maps = spark.createDataFrame([({"a": 1, "b": 2}, {"b": 2}, 4 / (5**0.5 * 2)), ({}, {"b": 1}, 0.0), ({"a": 1}, {"b": 1}, 0.0)], "x map<string,int>, y map<string,int>, w double")
+    assert all(abs(r[0] - r[1]) < 1e-12 for r in maps.select(text.sparse_cosine(F.col("x"), F.col("y")), "w").collect())
+
+
+def test_stemmer():
+    want = {
+        "consign": "consign", "consigned": "consign", "consistency": "consist", "consolation": "consol", "knackeries": "knackeri", "knightly": "knight", "generous": "generous", "generalization": "general",
+        "communism": "communism", "relational": "relat", "hopping": "hop", "hoping": "hope", "happy": "happi", "say": "say", "cries": "cri", "ties": "tie", "gas": "gas", "gaps": "gap", "dying": "die",
+        "skies": "sky", "news": "news", "succeed": "succeed", "luxuriated": "luxuri", "falling": "fall", "agreed": "agre", "feed": "feed", "analysis": "analysi", "networks": "network", "yes": "yes", "by": "by",
+        "arsenal": "arsenal", "electricity": "electr", "formalize": "formal", "adjustment": "adjust", "adoption": "adopt", "hopefulness": "hope", "kiwis": "kiwi", "bliss": "bliss", "apology": "apolog", "relative": "relat",
+    }
+    assert {w: stem(w) for w in want} == want
+
+
+def slow_clusters(rows, title, venue):
+    """Records by the definition, pair by pair, without parts or caches."""
+    toks = lambda s: tuple(judging.name_tuple(s))
+
+    def keys(r):
+        out = set()
+        for c in r["coauthors"]:
+            t = toks(c)
+            if not names.names_match(t, toks(r["author_name"])):
+                out |= {f"only:{t[0]}"} if len(t) == 1 else ({"exact:" + ":".join(sorted(t))} | {f"part:{x}:" + "".join(sorted(y[0] for j, y in enumerate(t) if j != i)) for i, x in enumerate(t) if len(x) > 1}) if t else set()
+        return out
+
+    def bag(s):
+        out = {}
+        for w in judging.name_tuple(s):
+            if len(w) > 1 and w not in text.STOP_WORDS:
+                out[stem(w)] = out.get(stem(w), 0) + 1
+        return out
+
+    def cos(a, b):
+        dot = sum(v * b.get(k, 0) for k, v in a.items())
+        return dot / (sum(v * v for v in a.values()) * sum(v * v for v in b.values())) ** 0.5 if dot else 0.0
+
+    add = lambda a, b: {k: a.get(k, 0) + b.get(k, 0) for k in {*a, *b}}
+    long = lambda r: sum(len(t) > 1 for t in toks(r["author_name"])) > 1
+    out = []
+    for r in sorted(rows, key=lambda r: (not long(r), r["row_index"])):
+        k = keys(r)
+        for c in out:
+            if k & c["keys"] and names.names_match(toks(r["author_name"]), c["name"]):
+                break
+        else:
+            c = {"name": toks(r["author_name"]), "keys": set(), "t": {}, "v": {}, "m": []}
+            out.append(c)
+        c["keys"] |= k
+        c["t"], c["v"] = add(c["t"], bag(r["title"])), add(c["v"], bag(r["venue"]))
+        c["m"].append(r["row_index"])
+    again = True
+    while again:
+        again, i = False, 0
+        while i < len(out):
+            j = i + 1
+            while j < len(out):
+                a, b = out[i], out[j]
+                if names.names_match(a["name"], b["name"]) and (cos(a["t"], b["t"]) > title or cos(a["v"], b["v"]) > venue):
+                    a["t"], a["v"], again = add(a["t"], b["t"]), add(a["v"], b["v"]), True
+                    a["m"] += b["m"]
+                    out.pop(j)
+                else:
+                    j += 1
+            i += 1
+    return [sorted(c["m"]) for c in out]
+
+
+def bib_rows(seed=3, n=120):
+    rng = random.Random(seed)
+    given, words = ["ana", "a", "bo", "bea", "b", "carl", "王伟"], ["graph", "kernel", "neural", "query", "index", "stream", "proof", "cell", "gene", "market"]
+    rows = []
+    for i in range(n):
+        author = rng.choice([f"{rng.choice(given)} silva", f"silva {rng.choice(given)}", "silva", "王伟"])
+        rows.append((i, f"block {i % 3}", f"p{i % 50}", author, [author] + [f"{rng.choice('xyzuvw')} person{rng.randrange(25)}" for _ in range(rng.randrange(3))], " ".join(rng.choices(words, k=rng.randrange(5))), rng.choice(["", "journal of cells", "graph letters"]), f"l{i % 7}"))
+    return rows
+
+
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_lexical_fold(spark, partitions):
+    rows = bib_rows()
+    frame = spark.createDataFrame(rows, BIB).repartition(partitions)
+    got = {}
+    for r in clusters.lexical(clusters.prepared(frame), 0.6, 0.9).collect():
+        got.setdefault(r["ambiguous_name"], {}).setdefault(r["cluster_no"], []).append(r["row_index"])
+        assert r["predicted_cluster"] == f"{r['ambiguous_name']}::{r['cluster_no']:04d}"
+    names_ = [f.name for f in frame.schema]
+    for block in got:
+        want = slow_clusters([dict(zip(names_, r, strict=True)) for r in rows if r[1] == block], 0.6, 0.9)
+        assert [sorted(got[block][k]) for k in sorted(got[block])] == want
+
+
+def test_agglomeration_order(spark):
+    titles = ["xx", "yy", "xx xx xx xx yy yy yy yy yy", "xx xx zz"]
+    frame = spark.createDataFrame([(i, "b", "p", "john smith", [], t, "", "l") for i, t in enumerate(titles)], BIB)
+    got = {r["row_index"]: r["cluster_no"] for r in clusters.lexical(clusters.prepared(frame), 0.6, 0.5).collect()}
+    assert got == {0: 1, 2: 1, 3: 1, 1: 2}
+
+
+def test_metrics(spark):
+    rng = random.Random(1)
+    rows = [(i, f"b{i % 4}", f"l{rng.randrange(6)}", f"c{i % 4}/{rng.randrange(4)}", f"c{rng.randrange(5)}") for i in range(90)]
+    frame = spark.createDataFrame(rows, "rid long, block string, label string, cluster string, extension string")
+    inside = [(a, b) for a, b in combinations(rows, 2) if a[1] == b[1]]
+    got = metrics.confusion_by_block(frame).first()
+    assert tuple(got) == tuple(sum((a[2] == b[2]) == s and (a[3] == b[3]) == c for a, b in inside) for s, c in ((True, True), (False, True), (True, False), (False, False)))
+    changes = metrics.error_changes(frame.withColumnRenamed("cluster", "base")).first()
+    want = [0] * 4
+    for a, b in inside:
+        s, x, y = a[2] == b[2], a[3] == b[3], a[4] == b[4]
+        want[0] += not s and x and not y
+        want[1] += not s and not x and y
+        want[2] += s and not x and y
+        want[3] += s and x and not y
+    assert list(changes) == want
+    one = metrics.evaluate(frame.select("block", F.concat("block", "label").alias("label"), F.concat("block", "label").alias("cluster"))).first()
+    assert all(one[c] == pytest.approx(1) for c in tables.RATES)
+    alone = metrics.pairwise(frame.select("block", F.col("rid").alias("label"), F.col("rid").alias("cluster"))).first()
+    assert tuple(alone) == (1.0, 1.0, 1.0)
+    assert metrics.evaluate(frame.limit(0)).count() == 0
+    crossing = metrics.evaluate(spark.createDataFrame([("a", "x", "a1"), ("b", "x", "b1")], "block string, label string, cluster string")).first()
+    assert crossing["b3_recall"] == 0.5 and crossing["k_metric"] == 1
+
+
+GOOD = '{"same_author":true,"same_author_probability":1,"reason":"x"}'
+
+
+def test_decisions(spark):
+    cases = {GOOD: True, f"```json\n{GOOD}\n```": True, f" {GOOD} \n": True, '{"same_author":"true","same_author_probability":1,"reason":"x"}': False, '{"same_author":true,"same_author_probability":true,"reason":"x"}': False,
+             '{"same_author":true,"same_author_probability":1.2,"reason":"x"}': False, '{"same_author":true,"same_author_probability":NaN,"reason":"x"}': False, '{"same_author":true,"same_author_probability":0.5,"reason":"x"}': False,
+             '{"same_author":true,"same_author_probability":1,"reason":" "}': False, f"[{GOOD}]": False, f"```{GOOD}```": False, "no": False, "": False, '{"same_author":false,"same_author_probability":0.25,"reason":" y "}': True}
+    frame = spark.createDataFrame([(c,) for c in cases], "a string")
+    for r in frame.select("a", decisions.parse_decision(F.col("a")).alias("d")).collect():
+        plain = decisions.read_decision(r["a"])
+        assert (r["d"] is not None) == cases[r["a"]] == (plain is not None), r["a"]
+        if plain:
+            assert tuple(r["d"]) == tuple(plain)
+
+
+def test_confidence_bins(spark):
+    rows = [(True, p > 0.4, p > 0.5, p) for p in (0.0, 0.05, 0.3, 0.7, 1.0)] + [(False, True, True, 0.9), (True, None, True, 0.9)]
+    bins = metrics.confidence_bins(spark.createDataFrame(rows, "valid boolean, label boolean, same_author boolean, p double")).orderBy("lower").collect()
+    assert [b["count"] for b in bins] == [2, 0, 0, 1, 0, 0, 0, 1, 0, 1] and bins[1]["mean_probability"] is None
+
+
+def test_generative(spark):
+    frame = embedding.encoded(spark.createDataFrame(bib_rows(5, 60), BIB).withColumn("coauthors", F.array().cast("array<string>")))
+    start = clusters.lexical(clusters.prepared(frame), 0.9, 1.1).persist()
+    settings = judging.Settings(threshold=0.2, budget=7, top_k=2, confidence=0.5)
+    run = generative.generative(frame, start, settings)
+    old, new = ({r["row_index"]: r["predicted_cluster"] for r in c.collect()} for c in (start, run.clusters))
+    assert set(old) == set(new) and all(len({new[i] for i in old if old[i] == c}) == 1 for c in set(old.values()))
+    log = run.log.collect()
+    assert log and max(sum(r["ambiguous_name"] == b for r in log) for b in {r["ambiguous_name"] for r in log}) <= 7
+    merges = sum(r["accepted"] for r in log)
+    assert len(set(old.values())) - merges == len(set(new.values())) and run.totals().first()["merges"] == merges
+    again = generative.generative(frame, start, settings, judge=lambda prompts: ["broken"] * len(prompts), cache=run.new_decisions())
+    assert again.totals().first()["cache_hits"] == len(log) and {r["row_index"]: r["predicted_cluster"] for r in again.clusters.collect()} == new
+    broken = generative.generative(frame, start, settings, judge=lambda prompts: ["broken"] * len(prompts))
+    total = broken.totals().first()
+    assert total["merges"] == 0 and total["invalid_responses"] == total["model_calls"] == 2 * total["comparisons"] and broken.new_decisions().count() == 0
+    lines = [json.loads(r[0]) for r in generative.log_json(run.log).collect()]
+    assert sum("decision" in x for x in lines) == len(log)
+    cached = generative.parse_cache_lines(spark.createDataFrame([(json.dumps({"key": "k", "decision": json.loads(GOOD)}),), ('{"cache_key": 1}',), ("broken",)], "value string"))
+    assert [r["key"] for r in cached.collect()] == ["k"]
+
+
+def test_evidence_order():
+    papers = [{"author_name": "a", "coauthors": c, "title": t, "venue": ""} for c, t in (([], "gene cells"), (["x y"], "other"), ([], "graph query index"), ([], "graph"))]
+    other = [{"author_name": "a", "coauthors": ["x y"], "title": "graph cells", "venue": ""}]
+    assert [p["title"] for p in judging.evidence(papers, other, 3)] == ["other", "graph query index", "gene cells"]
+
+
+def test_pair_sample(spark):
+    rows = [(i, "b", f"l{i % 3}", f"c{i % 4}") for i in range(20)]
+    frame = spark.createDataFrame(rows, "rid long, block string, label string, cluster string")
+    counts = {r["outcome"]: r["n"] for r in sampling.pair_outcomes(frame).collect()}
+    full = {r["outcome"]: r["count"] for r in sampling.pair_sample(frame, 10**6).groupBy("outcome").count().collect()}
+    assert {k: v for k, v in counts.items() if v} == full
+    exact = sampling.reservoir_examples([(b, l, {"m": c}) for _, b, l, c in rows], ["m"], 1, 2)["m"]
+    assert {o: c for o, (c, _) in exact.items()} == counts and all(len(p) == min(2, c) for c, p in exact.values())
+
+
+CSV = 'ambiguous_name,paper_id,author_name,coauthors,title,venue,label\nn,p1,"a ""q"" n","[\'a n\', ""O\'Neil""]","line\none",v\\,l1\nn,p2,b n,[],,,l2\nm,p3,c m,"[\'x y\']",graph,v,l3\n'
+
+
+def test_csv_and_runs(spark, tmp_path):
+    path = tmp_path / "in.csv"
+    path.write_text(CSV, encoding="utf-8")
+    rows = records.scan_csv(spark, str(path)).orderBy("row_index").collect()
+    assert [r["row_index"] for r in rows] == [0, 1, 2] and rows[0]["author_name"] == 'a "q" n' and rows[0]["title"] == "line\none" and rows[0]["venue"] == "v\\" and rows[1]["title"] == ""
+    lists = records.scan_csv(spark, str(path)).select("row_index", records.coauthor_list(F.col("coauthors")).alias("c")).orderBy("row_index").collect()
+    assert lists[0]["c"] == ["a n", "O'Neil"] and lists[1]["c"] == []
+    for bad in ("('A',)", "[1]", "['a', None]", "A;B"):
+        with pytest.raises(ValueError):
+            records._literal_names(bad)
+    (tmp_path / "bad.csv").write_text("title,venue\n", encoding="utf-8")
+    with pytest.raises(ValueError, match="ambiguous_name, author_name, coauthors, paper_id"):
+        records.scan_csv(spark, str(tmp_path / "bad.csv"))
+    with pytest.raises(ValueError):
+        records.sample_blocks(records.scan_csv(spark, str(path)), 3)
+    assert records.sample_blocks(records.scan_csv(spark, str(path)), 1).select("ambiguous_name").distinct().count() == 1
+
+    from quillmesh.plans import runs
+    from quillmesh.report import generate
+
+    out = str(tmp_path / "out")
+    summaries = [runs.run_lexical(spark, str(path), out), runs.run_semantic(spark, str(path), out, cache=str(tmp_path / "cache")), runs.run_generative(spark, str(path), out, decision_cache=str(tmp_path / "decisions"), retrieval_diagnostics=True)]
+    assert [s["records"] for s in summaries] == [3, 3, 3]
+    assert runs.run_semantic(spark, str(path), out, cache=str(tmp_path / "cache"))["embedding_cache_hit"]
+    cohort, common = generate.load(spark, out)
+    assert common.count() == 3 and cohort.statistics["records"] == 3
+    for language in ("en", "pt_BR"):
+        assert len(generate.generate(cohort, tmp_path / "figs", language)) == 8
+    assert len(list((tmp_path / "figs").iterdir())) == 16
+    readme = tmp_path / "README.md"
+    readme.write_text("".join(f"<!-- REPORT:{n}:START -->\nold\n<!-- REPORT:{n}:END -->\n" for n in generate.sections(cohort)), encoding="utf-8")
+    generate.update_readme(readme, cohort)
+    assert "\nold\n" not in readme.read_text() and "B-cubed F1" in readme.read_text()
+    source = records.scan_csv(spark, str(path))
+    assert "p1" in generate.group_examples(common, source, 2, 2) and "<h3>lexical" in generate.pair_examples(common, source, cohort.methods)
+    assert sinks.archive_outputs(out, tmp_path / "a.zip")
+
+
+def test_sections_are_checked():
+    good = "<!-- X:A:START -->\n1\n<!-- X:A:END -->"
+    assert sinks.replace_sections(good, {"A": "2"}, "X") == "<!-- X:A:START -->\n2\n<!-- X:A:END -->"
+    for bad in ("", good + good, "<!-- X:A:END --><!-- X:A:START -->"):
+        with pytest.raises(ValueError):
+            sinks.replace_sections(bad, {"A": "2"}, "X")
+
+
+def test_formats():
+    assert [tables.duration(s) for s in (0.5, 1, 59.6, 3601, 6875.015)] == ["0.500 s", "1 s", "1 min 0 s", "1 h 0 min 1 s", "1 h 54 min 35 s"]
+    assert tables.number(1234.5, ",.2f", "pt_BR") == "1.234,50"
+    for bad in (0, -1, float("nan"), True, None):
+        with pytest.raises(ValueError):
+            tables.check_time(bad)
+    assert charts.bars("t", ["a"], {"x": [1.0]}).startswith("<svg")
+    with pytest.raises(ValueError):
+        judging.Settings(confidence=2)
+
+
+def test_entry_imports():
+    import __spark_entry__ as e
+
+    assert set(e.oracle_sql()) <= set(e.queries())
