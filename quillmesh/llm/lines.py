@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FILTER_WORDS, WORD, cut, key_filter, own_name, thin
+from .common import FILTER_WORDS, SPACES, WORD, cut, key_filter, own_name, thin
 from .neighbours import linked_components, shared_buckets
 
 SHINGLE = 9
@@ -29,7 +29,7 @@ _SPACE, _OTHER = "[\\x20\\x09-\\x0D]", WORD
 
 
 def normal(line: Column) -> Column:
-    return F.lower(F.regexp_replace(line, f"^{_SPACE}+|{_SPACE}+$", ""))
+    return F.lower(F.trim(line, F.lit(SPACES)))
 
 
 def shingles(line: Column) -> Column:
@@ -40,7 +40,7 @@ def occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc, version, line_no, id, line): every line with a word, normalised. version tells rows of one doc_id apart."""
     rows = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull())
     rows = rows.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("version"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "raw"))
-    rows = rows.where(F.col("raw").rlike(WORD)).select("doc", "version", "line_no", normal(F.col("raw")).alias("line"))
+    rows = rows.select("doc", "version", "line_no", normal(F.col("raw")).alias("line")).where("line <> ''")
     return rows.select("doc", "version", "line_no", F.xxhash64("line").alias("id"), "line")
 
 
@@ -54,14 +54,12 @@ def sketches(occ: DataFrame) -> DataFrame:
     return lines.select("id", "first_doc", "n", F.array(*keys).alias("bands"))
 
 
-def verifier(sets: DataFrame, percent: int):
-    def verify(pairs: DataFrame) -> DataFrame:
-        a, b = (sets.select(F.col("id").alias(x), F.col("hashes").alias(f"h{x}")) for x in "ab")
-        near = F.least(F.size("ha"), F.size("hb")) * 100 >= F.greatest(F.size("ha"), F.size("hb")) * percent
-        common = F.size(F.array_intersect("ha", "hb"))
-        return pairs.join(a, "a").join(b, "b").where(near & (common * 100 >= (F.size("ha") + F.size("hb") - common) * percent)).select("a", "b")
+def linked_at(percent: int):
+    def linked(x: Column, y: Column) -> Column:
+        near = F.least(F.size(x), F.size(y)) * 100 >= F.greatest(F.size(x), F.size(y)) * percent
+        return near & (F.size(F.array_intersect(x, y)) * (100 + percent) >= (F.size(x) + F.size(y)) * percent)
 
-    return verify
+    return linked
 
 
 def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -69,13 +67,14 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percen
     occ = occurrences(docs, doc_id, text)
     lines = cut(sketches(occ), "lines")
     live = shared_buckets(lines.select("id", "bands"))
-    wanted = lines.join(live.select("id").distinct(), "id", "left_semi").select("id", F.col("first_doc").alias("doc"))
-    wanted = cut(wanted, "wanted")
-    texts = thin(occ.select("id", "doc", "line"), F.col("id"), key_filter(wanted, F.col("id"))).join(wanted, ["id", "doc"], "left_semi")
-    # A line that its first document repeats gives the same set each time: one is taken where they are made.
-    sets = texts.select("id", F.array_sort(F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s)))).alias("hashes"))
-    found = linked_components(live, verifier(cut(sets.dropDuplicates(["id"]), "linesets"), percent))
-    found = cut(found, "linecomponents")
+    wanted = cut(lines.join(live.select("id").distinct(), "id").select("id", F.col("first_doc").alias("doc"), "bands"), "wanted")
+    # Only documents with such a line are split again; joins are inner ones, as a semi-join would be moved below a filter.
+    some = thin(docs.withColumn("_doc", F.col(doc_id).cast("long")), F.col("_doc"), key_filter(wanted, F.col("doc")))
+    texts = thin(occurrences(some, doc_id, text).select("id", "doc", "line"), F.col("id"), key_filter(wanted, F.col("id")))
+    sets = texts.select("id", "doc", F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s))).alias("facts"))
+    # A line that its first document repeats gives the same set each time: one is taken.
+    sets = cut(sets.join(wanted, ["id", "doc"]).dropDuplicates(["id"]).select("id", "bands", "facts"), "linesets")
+    found = cut(linked_components(live, sets, linked_at(percent)), "linecomponents")
 
     joined = lines.select("id", "first_doc", "n").join(found.withColumnRenamed("node", "id"), "id", "left")
     joined = joined.join(found.select(F.col("component_id").alias("id"), F.lit(True).alias("root")).distinct(), "id", "left")

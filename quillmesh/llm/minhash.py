@@ -110,33 +110,34 @@ def signed(docs: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, sig, hashes) of the documents among ids."""
+    """(id, bands, facts): the minima and full set of the documents among ids (each once)."""
 
     def work(batches):
         for whole in batches:
             for start in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(start, ROWS)
                 sets = [shingles(sequence(t)) for t in batch.column(1).to_pylist()]
-                sig = [minima(s).astype("u4").view("i4") if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig, pa.list_(pa.int32())), pa.array([s.view("i8") for s in sets], pa.list_(pa.int64()))], names=["id", "sig", "hashes"])
+                least = [minima(s) if len(s) else np.zeros(BANDS * BAND, "u8") for s in sets]
+                columns = [pa.array([band_keys(m) for m in least], pa.list_(pa.int64())), pa.array([m.astype("u4").view("i4") for m in least], pa.list_(pa.int32())), pa.array([s.view("i8") for s in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "bands", "sig", "hashes"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    rows = thin(rows, F.col("id"), key_filter(ids, F.col("id"))).join(ids, "id", "left_semi")
-    return rows.mapInArrow(work, "id long, sig array<int>, hashes array<long>").dropDuplicates(["id"])
+    # An inner join: Spark would move a semi-join below the filter.
+    rows = thin(rows, F.col("id"), key_filter(ids, F.col("id"))).join(ids, "id").select("id", "text")
+    sets = rows.mapInArrow(work, "id long, bands array<long>, sig array<int>, hashes array<long>")
+    return sets.dropDuplicates(["id"]).select("id", "bands", F.struct("sig", "hashes").alias("facts"))
 
 
-def verifier(sets: DataFrame, percent: int = PERCENT):
-    """Pairs (a, b) that pass on their minima, then on their full sets."""
+def linked_at(percent: int = PERCENT):
+    """Whether two sets pass by size, by their minima, and exactly."""
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        a, b = (sets.select(F.col("id").alias(x), F.col("sig").alias(f"s{x}"), F.col("hashes").alias(f"h{x}")) for x in "ab")
-        agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda same: same)) >= AGREE
-        near = F.least(F.size("ha"), F.size("hb")) * 100 >= F.greatest(F.size("ha"), F.size("hb")) * percent
-        common = F.size(F.array_intersect("ha", "hb"))
-        exact = common * 100 >= (F.size("ha") + F.size("hb") - common) * percent
-        return pairs.join(a, "a").join(b, "b").where(near & agree & exact).select("a", "b")
+    def linked(x, y):
+        a, b = x["hashes"], y["hashes"]
+        agree = F.size(F.filter(F.zip_with(x["sig"], y["sig"], lambda p, q: p == q), lambda same: same)) >= AGREE
+        near = F.least(F.size(a), F.size(b)) * 100 >= F.greatest(F.size(a), F.size(b)) * percent
+        return near & agree & (F.size(F.array_intersect(a, b)) * (100 + percent) >= (F.size(a) + F.size(b)) * percent)
 
-    return verify
+    return linked
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -147,7 +148,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = rows.where("same IS NOT NULL").join(classes, (rows["same"] == classes["same"]) & (rows["id"] == classes["rep"])).select("id", "bands")
     live = shared_buckets(members)
     sets = cut(full_sets(docs, live.select("id").distinct()), "sets")
-    found = linked_components(live, verifier(sets, percent))
+    found = cut(linked_components(live, sets, linked_at(percent)), "linked")
     reps = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("component_id", "rep").alias("class_component"))
     out = rows.select("id", "n_shingles", "same").join(reps, "same", "left")
     component = F.coalesce("class_component", "id")

@@ -1,64 +1,65 @@
 """From buckets of possibly similar rows to the links that join their components, with exact checks.
 
 A bucket's rows are not paired with each other. First each is paired with one leader of the bucket, the row that shares
-most buckets with others (of a text and its variants, the text). The checked links give components; only buckets that
-still hold rows of two components are looked at again, with one other leader, and what is then left is paired across
-components, so that no link between components is lost.
+most buckets with others (of a text and its variants, the text). The checked links give components. Buckets that still
+hold rows of two components are joined with themselves, the exact check being part of the join's condition, so that
+only links come out of it, never the pairs. No link between components is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, key_filter, thin
 from .components import components
 
-Verify = Callable[[DataFrame], DataFrame]
+#: From two structs of a row's `facts` to whether the rows are linked.
+Linked = Callable[[Column, Column], Column]
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
-    """Of members (id, bands) the rows (id, band, n) in buckets of n > 1 members."""
-    rows = members.select("id", F.explode("bands").alias("band"))
+    """Of members (id, bands) the rows (id, at, band, n) in buckets of n > 1 members; at: the place of band in bands."""
+    rows = members.select("id", F.posexplode("bands").alias("at", "band"))
     sizes = cut(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    return cut(thin(rows, F.col("band"), key_filter(sizes, F.col("band"))).join(sizes, "band").select("id", "band", "n"), "shared")
+    return cut(thin(rows, F.col("band"), key_filter(sizes, F.col("band"))).join(sizes, "band").select("id", "at", "band", "n"), "shared")
 
 
-def labelled(live: DataFrame, found: DataFrame) -> DataFrame:
-    """live with each id's component so far, without the buckets that one component fills."""
-    rows = live.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component_id", "id")).drop("component_id")
-    mixed = rows.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-    return rows.join(mixed, "band")
+def pairs_with_leaders(live: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, of every row and its bucket's leader."""
+    score = live.groupBy("id").agg(F.sum("n").alias("score"))
+    leaders = live.join(score, "id").groupBy("band").agg(F.max(F.struct("score", (-F.col("id")).alias("i"))).alias("best"))
+    both = live.join(leaders.select("band", (-F.col("best.i")).alias("leader")), "band").where(F.col("id") != F.col("leader"))
+    return both.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
 
 
-def pairs_with_leaders(live: DataFrame, order) -> DataFrame:
-    """Distinct (a, b), a < b, of every row and its bucket's leader, the row with the largest `order`; by component if given."""
-    comp = "comp" if "comp" in live.columns else "id"
-    leaders = live.groupBy("band").agg(F.max(F.struct(order.alias("o"), (-F.col("id")).alias("i"), F.col(comp).alias("c"))).alias("best"))
-    both = live.join(leaders.select("band", (-F.col("best.i")).alias("leader"), F.col("best.c").alias("leader_comp")), "band")
-    both = both.where((F.col("id") != F.col("leader")) & (F.col(comp) != F.col("leader_comp")))
-    return both.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+def mixed_buckets(live: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, at, band, comp, main): rows of the buckets that hold several components; main: the bucket's largest one."""
+    rows = live.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "at", "band", F.coalesce("component_id", "id").alias("comp"))
+    parts = rows.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("band")
+    mixed = parts.agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "comp")).alias("main")).where("k > 1")
+    return rows.join(mixed.select("band", F.col("main.comp").alias("main")), "band")
 
 
-def linked_components(live: DataFrame, verify: Verify) -> DataFrame:
+def linked_components(live: DataFrame, sets: DataFrame, linked: Linked) -> DataFrame:
     """(node, component_id) for all rows of live that are linked and not their component's smallest.
 
-    live: shared_buckets()' rows. verify: from distinct pairs (a, b) to those that are linked.
+    live: shared_buckets()' rows. sets: (id, bands, facts) of the same ids. linked: says of two facts if they are.
     """
-    score = live.groupBy("id").agg(F.sum("n").alias("score"))
-    links = cut(verify(pairs_with_leaders(live.join(score, "id"), F.col("score"))), "links")
-    found = components(links)
-    left = cut(labelled(live, found), "left")
-    if left.isEmpty():
-        return found
-    more = cut(verify(pairs_with_leaders(left, F.xxhash64("id", "band"))), "links")
-    links = links.unionByName(more)
-    left = cut(labelled(live.join(left.select("band").distinct(), "band", "left_semi"), components(links)), "left")
-    if left.isEmpty():
-        return components(links)
-    x = left.select("band", F.col("id").alias("a"), F.col("comp").alias("ca"))
-    y = left.select("band", F.col("id").alias("b"), F.col("comp").alias("cb"))
-    across = x.join(y, "band").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return components(links.unionByName(cut(verify(across), "links")))
+    a, b = (sets.select(F.col("id").alias(s), F.col("facts").alias(f"f{s}")) for s in "ab")
+    star = pairs_with_leaders(live).join(a, "a").join(b, "b").where(linked(F.col("fa"), F.col("fb"))).select("a", "b")
+    found = components(star)
+    left = cut(mixed_buckets(live, found), "mixed").join(sets, "id")
+    # Rows of a bucket's largest component need not meet each other.
+    x = left.where("comp <> main").select(F.col("band").alias("band_x"), "at", F.col("comp").alias("comp_x"), F.col("bands").alias("bands_x"), F.col("facts").alias("facts_x"))
+    y = left.select(F.col("band").alias("band_y"), F.col("comp").alias("comp_y"), F.col("bands").alias("bands_y"), F.col("facts").alias("facts_y"))
+    # A pair is looked at in the first bucket that it shares.
+    here = F.array_position(F.zip_with("bands_x", "bands_y", lambda p, q: p == q), True) == F.col("at") + 1
+    across = x.join(y, (F.col("band_x") == F.col("band_y")) & (F.col("comp_x") != F.col("comp_y")) & here & linked(F.col("facts_x"), F.col("facts_y")))
+    more = components(across.select(F.col("comp_x").alias("a"), F.col("comp_y").alias("b")))
+    # Components that were linked to others take over theirs.
+    moved = more.select(F.col("node").alias("was"), F.col("component_id").alias("whole"))
+    nodes = found.join(moved, found["component_id"] == moved["was"], "left").select("node", F.coalesce("whole", "component_id").alias("component_id"))
+    return nodes.unionByName(more)
