@@ -69,7 +69,7 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percen
     live = shared_buckets(lines.select("id", "bands"))
     wanted = cut(lines.join(live.select("id").distinct(), "id").select("id", F.col("first_doc").alias("doc"), "bands"), "wanted")
     # Only documents with such a line are split again; joins are inner ones, as a semi-join would be moved below a filter.
-    some = thin(docs.withColumn("_doc", F.col(doc_id).cast("long")), F.col("_doc"), key_filter(wanted, F.col("doc")))
+    some = thin(docs.select(doc_id, text, F.col(doc_id).cast("long").alias("_doc")), F.col("_doc"), key_filter(wanted, F.col("doc")))
     texts = thin(occurrences(some, doc_id, text).select("id", "doc", "line"), F.col("id"), key_filter(wanted, F.col("id")))
     sets = texts.select("id", "doc", F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s))).alias("facts"))
     # A line that its first document repeats gives the same set each time: one is taken.
@@ -98,26 +98,27 @@ def without_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     """docs with the kept lines as text, plus n_lines (all) and n_removed."""
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_removed")])
     gone = cut(removals(docs, doc_id, text, percent), "gone")
-    doc, version, maybe = (own_name(docs, c) for c in ("doc", "version", "maybe"))
+    doc, version, maybe, removed = (own_name(docs, c) for c in ("doc", "version", "maybe", "gone"))
     # Documents that lose nothing need no shuffle: most are told apart by a bit set of fixed size.
     bits = key_filter(gone, F.col("doc"))
     h = F.pmod(F.xxhash64(F.col(doc_id).cast("long"), F.lit("filter")), F.lit(FILTER_WORDS * 64))
     marked = docs.withColumn(maybe, h)
-    word, bit = own_name(marked, "word"), F.expr(f"(shiftrightunsigned(_bits, cast(`{maybe}` & 63 as int)) & 1) = 1")
-    marked = marked.withColumn(word, F.shiftright(maybe, 6)).join(F.broadcast(bits.withColumnRenamed("_word", word)), word, "left")
-    marked = marked.withColumn(maybe, F.coalesce(bit, F.lit(False))).drop(word, "_bits")
+    word, held = own_name(marked, "word"), own_name(marked, "held")
+    bit = F.expr(f"(shiftrightunsigned(`{held}`, cast(`{maybe}` & 63 as int)) & 1) = 1")
+    marked = marked.withColumn(word, F.shiftright(maybe, 6)).join(F.broadcast(bits.select(F.col("_word").alias(word), F.col("_bits").alias(held))), word, "left")
+    marked = marked.withColumn(maybe, F.coalesce(bit, F.lit(False))).drop(word, held)
     n_lines = F.coalesce(F.size(F.split(F.col(text), "\n", -1)), F.lit(0))
     rest = marked.where(f"NOT `{maybe}`").drop(maybe).withColumns({"n_lines": F.when(F.col(text).isNull(), 0).otherwise(n_lines), "n_removed": F.lit(0)})
     hit = marked.where(f"`{maybe}`").drop(maybe).withColumn(version, F.xxhash64(text)).withColumn(doc, F.col(doc_id).cast("long"))
-    hit = hit.join(gone.select(F.col("doc").alias(doc), F.col("version").alias(version), F.col("gone").alias("_gone")), [doc, version], "left")
+    hit = hit.join(gone.select(F.col("doc").alias(doc), F.col("version").alias(version), F.col("gone").alias(removed)), [doc, version], "left")
     lines = F.split(F.col(text), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(removed))
     # The split lines are bound once; looking one up is then constant time.
     rebuilt = F.get(F.transform(F.array(lines), lambda ls: F.array_join(F.transform(kept, lambda i: F.get(ls, i)), "\n")), F.lit(0))
     hit = hit.withColumns({
         "n_lines": F.when(F.col(text).isNull(), 0).otherwise(n_lines),
-        "n_removed": F.coalesce(F.size("_gone"), F.lit(0)),
-        text: F.when(F.col("_gone").isNull(), F.col(text)).otherwise(rebuilt),
+        "n_removed": F.coalesce(F.size(removed), F.lit(0)),
+        text: F.when(F.col(removed).isNull(), F.col(text)).otherwise(rebuilt),
     })
     columns = [*docs.columns, "n_lines", "n_removed"]
     pick = [F.col(f"`{c}`") for c in columns]

@@ -81,7 +81,7 @@ def mixed_sizes(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int =
 
 def _sampled(rows: DataFrame, tie: str, weights, most: int, seed: int, source: str, doc_id: str) -> DataFrame:
     out = [c for c in rows.columns if c != tie]
-    skey, bin_, salt = (own_name(rows, c) for c in ("skey", "bin", "salt"))
+    skey, bin_, salt, start, place = (own_name(rows, c) for c in ("skey", "bin", "salt", "start", "place"))
     digits = F.col("size").cast("string")
     keys = {
         skey: source_key(F.col(source)),
@@ -97,10 +97,10 @@ def _sampled(rows: DataFrame, tie: str, weights, most: int, seed: int, source: s
     bins = counts.groupBy(skey, bin_).agg(F.sum("_n").alias("_b"))
     bins = bins.select(skey, bin_, F.coalesce(F.sum("_b").over(first(skey).orderBy(bin_)), F.lit(0)).alias("_before"))
     starts = in_bin.join(bins, [skey, bin_]).join(wanted.withColumnRenamed("skey", skey), skey)
-    starts = starts.select(*group, (F.col("_in_bin") + F.col("_before")).alias("_start"), "source_size", "target")
+    starts = starts.select(*group, (F.col("_in_bin") + F.col("_before")).alias(start), "source_size", "target")
     rank = F.row_number().over(Window.partitionBy(*group).orderBy("size", doc_id, tie))
-    placed = rows.withColumn("_rank", rank).join(starts, group)
-    k, each = F.col("_start") + F.col("_rank"), F.when(F.col("source_size") == 0, 0.0).otherwise(F.col("target") / F.col("source_size"))
+    placed = rows.withColumn(place, rank).join(starts, group)
+    k, each = F.col(start) + F.col(place), F.when(F.col("source_size") == 0, 0.0).otherwise(F.col("target") / F.col("source_size"))
     u = offset(F.col(skey), seed)
     copies = F.least(F.floor(each * k + u) - F.floor(each * (k - 1) + u), F.lit(most)).cast("long")
     return placed.select(*[F.col(f"`{c}`") for c in out], "source_size", "target", copies.alias("copies"))
@@ -108,7 +108,8 @@ def _sampled(rows: DataFrame, tie: str, weights, most: int, seed: int, source: s
 
 def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """Every document as often as it has copies."""
-    return mixed.where("copies > 0").select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy")).drop("_copy")
+    copy = own_name(mixed, "copy")
+    return mixed.where("copies > 0").select(*[F.col(f"`{c}`") for c in columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias(copy)).drop(copy)
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
