@@ -35,7 +35,7 @@ CHUNK = 8
 DIRECTORY = 512
 MAGIC = b"DAC1"
 #: Entries of one of the two generations of a worker's memo of words.
-MEMO = 120_000
+MEMO = 350_000
 SHARD_SCHEMA = "part int, seq int, part_start long, n_tokens long, doc_ids array<long>, lengths array<long>, codes binary"
 
 
@@ -179,12 +179,13 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of every text as little-endian unsigned 32-bit integers."""
         split = [self.words(t) for t in texts]
-        here = {w: self.old[w] for w in set().union(*split).difference(self.memo) if w in self.old}
-        missing = [w for w in set().union(*split).difference(self.memo) if w not in here]
-        here |= self.learn(missing)
+        used = set().union(*split)
+        new = used.difference(self.memo)
+        here = {w: v for w in new if (v := self.old.get(w))}
+        here |= self.learn(list(new.difference(here)))
         if len(self.memo) + len(here) > MEMO:
             self.old, self.memo = self.memo, {}
-            here |= {w: self.old[w] for w in set().union(*split) if w in self.old}
+            here |= {w: v for w in used if (v := self.old.get(w))}
         # One batch may bring more words than the memo holds; all of them are there until the next.
         self.memo |= here
         get = self.memo.__getitem__
