@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding by a rank queue under a hierarchical bitmap.
 
-Merging a pre-token keeps its parts in a linked list. Every mergeable pair stands in the bucket of its merge rank; a
+Merging keeps the parts of pre-tokens, of all new ones of a batch at once, in a linked list. Every mergeable pair stands in the bucket of its merge rank; a
 three-level bitmap over the ranks finds the first non-empty bucket with three find-first-set steps; entries whose pair
 has changed meanwhile are stale and skipped. The cost is near linear in the pre-token's length, where scanning for the
 best pair would be quadratic, so a pre-token of a megabyte is no special case.
@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 
 import public_tokenizers
 import pyarrow as pa
@@ -26,6 +25,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Entries of one of the two generations of a worker's memo; pre-tokens longer than MEMO_CHARS are not kept.
 MEMO = 250_000
 MEMO_CHARS = 64
+#: Ranks of neighbouring tokens that a worker remembers.
+JOINS = 1_000_000
 #: Rows worked on at a time inside an Arrow batch.
 ROWS = 256
 #: What encode() can add: column -> (Spark type, Arrow type).
@@ -49,12 +50,15 @@ class RankQueue:
     def push(self, rank: int, at: int) -> None:
         bucket = self.buckets.get(rank)
         if bucket is None:
-            self.buckets[rank] = [at]
-            self.low[rank >> 6] |= 1 << (rank & 63)
-            self.mid[rank >> 12] |= 1 << ((rank >> 6) & 63)
-            self.top |= 1 << (rank >> 12)
+            self.open(rank, [at])
         else:
-            heapq.heappush(bucket, at)
+            bucket.append(at)
+
+    def open(self, rank: int, bucket: list[int]) -> None:
+        self.buckets[rank] = bucket
+        self.low[rank >> 6] |= 1 << (rank & 63)
+        self.mid[rank >> 12] |= 1 << ((rank >> 6) & 63)
+        self.top |= 1 << (rank >> 12)
 
     def first(self) -> int:
         """The smallest rank with a bucket, or -1."""
@@ -66,41 +70,36 @@ class RankQueue:
         w = self.low[b]
         return (b << 6) + (w & -w).bit_length() - 1
 
-    def pop(self, rank: int) -> int:
-        """The leftmost position in a rank's bucket; an emptied bucket leaves the bitmap."""
-        bucket = self.buckets[rank]
-        at = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            b = rank >> 6
-            self.low[b] &= ~(1 << (rank & 63))
-            if not self.low[b]:
-                self.mid[b >> 6] &= ~(1 << (b & 63))
-                if not self.mid[b >> 6]:
-                    self.top &= ~(1 << (b >> 6))
-        return at
-
-
-class Memo(dict):
-    """make(key), remembered for about the last 2 * MEMO keys."""
-
-    def __init__(self, make) -> None:
-        self.make, self.old = make, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) <= MEMO_CHARS:
-            if len(self) >= MEMO:
-                self.old = dict(self)
-                self.clear()
-            self[key] = value
-        return value
-
-
-class Straddling(Exception):
-    """White space at a chunk's edge: the pattern must see the whole text."""
+    def take(self, rank: int) -> list[int]:
+        """A rank's positions from left to right; the bucket leaves the queue and the bitmap."""
+        bucket = self.buckets.pop(rank)
+        b = rank >> 6
+        self.low[b] &= ~(1 << (rank & 63))
+        if not self.low[b]:
+            self.mid[b >> 6] &= ~(1 << (b & 63))
+            if not self.mid[b >> 6]:
+                self.top &= ~(1 << (b >> 6))
+        bucket.sort()
+        return bucket
+
+
+class Memo:
+    """Values of about the last 2 * MEMO keys, made for many keys at a time."""
+
+    def __init__(self) -> None:
+        self.now: dict = {}
+        self.old: dict = {}
+
+    def fill(self, keys: set, make) -> dict:
+        """A dict with the values of at least these keys; make() may leave out keys, which then have none."""
+        new = keys.difference(self.now)
+        here = {k: v for k in new if (v := self.old.get(k)) is not None}
+        here |= make(list(new.difference(here)))
+        if len(self.now) + len(here) > MEMO:
+            self.old, self.now = self.now, {}
+            here |= {k: v for k in keys if (v := self.old.get(k)) is not None}
+        self.now |= {k: v for k, v in here.items() if len(k) <= MEMO_CHARS}
+        return self.now | here if any(len(k) > MEMO_CHARS for k in here) else self.now
 
 
 class ByteBPE:
@@ -112,73 +111,100 @@ class ByteBPE:
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
         self.pieces = {rank: token for token, rank in self.ranks.items()}
         self.named = {str(rank): token for token, rank in self.ranks.items()}
-        self.longest = max(map(len, self.ranks))
+        self.bytes = [self.ranks[bytes([b])] for b in range(256)]
+        self.joins: dict[int, int] = {}
         self.queue = RankQueue(max(self.pieces) + 1)
         self.split = regex.compile(pattern).findall
-        self.pretoken = Memo(lambda piece: " ".join(map(str, self.merge(piece.encode()))))
-        # A chunk is a run without spaces or line ends, after one space or at a line's start.
-        self.after_space = Memo(lambda chunk: self.chunk(" ", chunk))
-        self.at_start = Memo(lambda chunk: self.chunk("", chunk))
-
-    def merge(self, piece: bytes) -> list[int]:
-        ranks = self.ranks.get
-        whole = ranks(piece)
-        if whole is not None:
-            return [whole]
-        n, longest, queue = len(piece), self.longest, self.queue
-        ids = [ranks(piece[i : i + 1]) for i in range(n)]
+        self.pretoken, self.at_start, self.after_space = Memo(), Memo(), Memo()
+
+    def join(self, a: int, b: int) -> int:
+        """The rank of two neighbouring tokens' bytes, or -1."""
+        key = a << 20 | b
+        rank = self.joins.get(key)
+        if rank is None:
+            if len(self.joins) >= JOINS:
+                self.joins.clear()
+            rank = self.joins[key] = self.ranks.get(self.pieces[a] + self.pieces[b], -1)
+        return rank
+
+    def merge(self, pretokens: list[bytes]) -> list[list[int]]:
+        """The ids of many pre-tokens, which stand in one linked list with gaps and go through one queue."""
+        out = [[r] if (r := self.ranks.get(p)) is not None else None for p in pretokens]
+        long = [p for p, ids in zip(pretokens, out, strict=True) if ids is None]
+        ids: list[int] = []
+        spans = []
+        for p in long:
+            spans.append((len(ids), len(ids) + len(p)))
+            ids += map(self.bytes.__getitem__, p)
+        n, join, queue = len(ids), self.join, self.queue
+        push = queue.push
         after, before, pair = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
-
-        def offer(at: int, end: int) -> None:
-            rank = ranks(piece[at:end]) if end - at <= longest else None
-            if rank is None:
-                pair[at] = -1
-            else:
-                pair[at] = rank
-                queue.push(rank, at)
-
-        for i in range(n - 1):
-            offer(i, i + 2)
+        for start, end in spans:
+            before[start] = after[end - 1] = -1
+        for i, j in enumerate(after):
+            if j >= 0 and (rank := join(ids[i], ids[j])) >= 0:
+                pair[i] = rank
+                push(rank, i)
         while (rank := queue.first()) >= 0:
-            i = queue.pop(rank)
-            if pair[i] != rank:
-                continue
-            j = after[i]
-            k = after[j]
-            ids[i], ids[j], after[i], pair[j] = rank, -1, k, -1
-            if k < n:
-                before[k] = i
-                offer(i, after[k])
-            else:
-                pair[i] = -1
-            if (p := before[i]) >= 0:
-                offer(p, k)
-        return [x for x in ids if x >= 0]
-
-    def chunk(self, lead: str, chunk: str) -> str:
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            raise Straddling
-        return " ".join(map(self.pretoken.__getitem__, self.split(lead + chunk)))
-
-    def written(self, text: str) -> str:
-        """The ids in decimal, joined by one space.
+            bucket = queue.take(rank)
+            for at, i in enumerate(bucket, 1):
+                if pair[i] != rank:
+                    continue
+                j = after[i]
+                k = after[i] = after[j]
+                ids[i], ids[j], pair[j] = rank, -1, -1
+                right = left = -1
+                if k >= 0:
+                    before[k] = i
+                    if (right := join(rank, ids[k])) >= 0:
+                        push(right, i)
+                pair[i] = right
+                if (p := before[i]) >= 0:
+                    if (left := join(ids[p], rank)) >= 0:
+                        push(left, p)
+                    pair[p] = left
+                if 0 <= right < rank or 0 <= left < rank:
+                    # A pair of a smaller rank has come up: it goes first, the rest of this bucket waits.
+                    if rest := bucket[at:]:
+                        queue.open(rank, rest)
+                    break
+        found = iter([[x for x in ids[start:end] if x >= 0] for start, end in spans])
+        return [next(found) if x is None else x for x in out]
+
+    def name_pretokens(self, pretokens: list[str]) -> dict[str, str]:
+        return {p: " ".join(map(str, ids)) for p, ids in zip(pretokens, self.merge([p.encode() for p in pretokens]), strict=True)}
+
+    def name_chunks(self, lead: str, chunks: list[str]) -> dict[str, str]:
+        """Chunks with white space at an edge are left out: the pattern must see the whole text."""
+        split = {c: self.split(lead + c) for c in chunks if c and not c[0].isspace() and not c[-1].isspace()}
+        known = self.pretoken.fill(set().union(*split.values()), self.name_pretokens)
+        return {c: " ".join(map(known.__getitem__, ps)) for c, ps in split.items()}
+
+    def written(self, texts: list[str]) -> list[str]:
+        """The ids of every text in decimal, joined by one space.
 
         Between two characters that are no white space, one space always opens the next pre-token and one line end is
-        always a pre-token of its own, so chunks can be looked up apart. Any other white space goes by the pattern.
+        always a pre-token of its own, so chunks of text can be looked up apart. Any other white space goes by the
+        pattern over the whole text.
         """
-        if not text:
-            return ""
-        try:
-            out: list[str] = []
-            for line in text.split("\n"):
-                first, *rest = line.split(" ")
-                out.append(" ".join([self.at_start[first], *map(self.after_space.__getitem__, rest)]))
-            return f" {self.pretoken[chr(10)]} ".join(out)
-        except Straddling:
-            return " ".join(map(self.pretoken.__getitem__, self.split(text)))
+        lines = [[x.split(" ") for x in t.split("\n")] for t in texts]
+        first = self.at_start.fill({x[0] for t in lines for x in t}, lambda cs: self.name_chunks("", cs))
+        rest = self.after_space.fill(set().union(*(x[1:] for t in lines for x in t)), lambda cs: self.name_chunks(" ", cs))
+        line_end = f" {self.name_pretokens([chr(10)])[chr(10)]} "
+        out: list[str | None] = []
+        for t in lines:
+            try:
+                out.append(line_end.join([" ".join([first[x[0]], *map(rest.__getitem__, x[1:])]) for x in t]))
+            except KeyError:
+                out.append(None)
+        split = {i: self.split(texts[i]) for i, x in enumerate(out) if x is None}
+        known = self.pretoken.fill(set().union(*split.values()), self.name_pretokens) if split else {}
+        for i, ps in split.items():
+            out[i] = " ".join(map(known.__getitem__, ps))
+        return out
 
     def encode(self, text: str) -> list[int]:
-        return [int(x) for x in self.written(text).split()]
+        return [int(x) for x in self.written([text])[0].split()]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
@@ -213,7 +239,7 @@ def encoded(docs: DataFrame, outputs=("ids", "n_tokens"), text: str = "text", pa
         for whole in batches:
             for start in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(start, ROWS)
-                written = [bpe.written(t or "") for t in batch.column(at).to_pylist()]
+                written = bpe.written([t or "" for t in batch.column(at).to_pylist()])
                 new = [pa.array([make[c](s) for s in written], OUTPUTS[c][1]) for c in outputs]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*keep, *outputs])
 

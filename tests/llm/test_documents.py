@@ -61,7 +61,7 @@ def test_rank_queue_pops_in_order():
         queue.push(rank, at)
     out = []
     while (rank := queue.first()) >= 0:
-        out.append((rank, queue.pop(rank)))
+        out += [(rank, at) for at in queue.take(rank)]
     assert out == sorted(pushed)
     assert not queue.top and not any(queue.low) and not any(queue.mid)
 
