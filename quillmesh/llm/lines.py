@@ -67,14 +67,18 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percen
     occ = occurrences(docs, doc_id, text)
     lines = cut(sketches(occ), "lines")
     live = shared_buckets(lines.select("id", "bands"))
-    wanted = cut(lines.join(live.select("id").distinct(), "id").select("id", F.col("first_doc").alias("doc"), "bands"), "wanted")
-    # Only documents with such a line are split again; joins are inner ones, as a semi-join would be moved below a filter.
-    some = thin(docs.select(doc_id, text, F.col(doc_id).cast("long").alias("_doc")), F.col("_doc"), key_filter(wanted, F.col("doc")))
-    texts = thin(occurrences(some, doc_id, text).select("id", "doc", "line"), F.col("id"), key_filter(wanted, F.col("id")))
-    sets = texts.select("id", "doc", F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s))).alias("facts"))
+    near = live.select("id", F.lit(True).alias("near")).distinct()
+    some = lines.join(near, "id", "left").where("n > 1 OR near").select("id", "first_doc", F.coalesce("near", F.lit(False)).alias("near"), F.when(F.col("near"), F.col("bands")).alias("bands"))
+    some = cut(some, "some")
+    # All places of lines that may be repeated, with the set of those that may be near others, from one more look at the
+    # texts. The join is an inner one: Spark would move a semi-join below the filter.
+    places = thin(occ, F.col("id"), key_filter(some, F.col("id"))).join(some, "id")
+    chosen = F.col("near") & (F.col("doc") == F.col("first_doc"))
+    hashed = F.when(chosen, F.array_distinct(F.transform(shingles(F.when(chosen, F.col("line"))), lambda x: F.xxhash64(x))))
+    places = cut(places.select("doc", "version", "line_no", "id", F.when(chosen, F.col("bands")).alias("bands"), hashed.alias("facts")), "places")
     # A line that its first document repeats gives the same set each time: one is taken.
-    sets = cut(sets.join(wanted, ["id", "doc"]).dropDuplicates(["id"]).select("id", "bands", "facts"), "linesets")
-    found = cut(linked_components(live, sets, linked_at(percent)), "linecomponents")
+    sets = places.where("facts IS NOT NULL").select("id", "bands", "facts").dropDuplicates(["id"])
+    found = cut(linked_components(live, cut(sets, "linesets"), linked_at(percent)), "linecomponents")
 
     joined = lines.select("id", "first_doc", "n").join(found.withColumnRenamed("node", "id"), "id", "left")
     joined = joined.join(found.select(F.col("component_id").alias("id"), F.lit(True).alias("root")).distinct(), "id", "left")
@@ -86,8 +90,7 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percen
     own = many.where("id = comp").select("comp", F.least("first_doc", F.coalesce("other", "first_doc")).alias("keep_doc"))
     many = cut(many.select("id", "comp").join(own, "comp"), "keepers")
 
-    narrow = thin(occ.select("doc", "version", "line_no", "id"), F.col("id"), key_filter(many, F.col("id"))).join(many, "id")
-    narrow = narrow.select("doc", "version", "line_no", "comp", (F.col("doc") == F.col("keep_doc")).alias("keeps"))
+    narrow = places.join(many, "id").select("doc", "version", "line_no", "comp", (F.col("doc") == F.col("keep_doc")).alias("keeps"))
     narrow = cut(narrow, "candidates")
     first = narrow.where("keeps").groupBy("doc", "version", "comp").agg(F.min("line_no").alias("line_no"))
     gone = narrow.join(first, ["doc", "version", "comp", "line_no"], "left_anti")
