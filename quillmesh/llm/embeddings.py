@@ -28,7 +28,7 @@ from .components import components
 COSINE = 0.9
 BLOCK = 16
 #: Rows of a tile: two of them, with their vectors, are what one task holds at a time.
-TILE = 4096
+TILE = 16_384
 #: Added to every budget against rounding; verification is exact.
 SLACK = 1e-6
 ROWS = 4096

@@ -51,14 +51,14 @@ def test_embeddings(spark):
     links = {i: [j for j in good if j != i and len(good[i]) == len(good[j]) and good[i] @ good[j] / np.linalg.norm(good[i]) / np.linalg.norm(good[j]) >= 0.9] for i in good}
     want = brute_components(range(len(rows)), [(i, j) for i in links for j in links[i]])
     frame = spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").repartition(3)
-    for block, tile in ((16, 4096), (4, 16)):
+    for block, tile in ((16, 16_384), (4, 16)):
         embeddings.TILE = tile
         got = embeddings.near_duplicates(frame.withColumn("cid", F.lit(0)), block=block).collect()
         assert len(got) == len(rows)
         for r in got:
             i = r["vec_id"]
             assert (r["n_links"], r["component_id"], r["kept"]) == (len(links.get(i, [])), want[i], want[i] == i), i
-    embeddings.TILE = 4096
+    embeddings.TILE = 16_384
     assert embeddings.near_duplicates(frame.limit(0)).count() == 0
     assert [tuple(r) for r in embeddings.near_duplicates(spark.createDataFrame([(None, [1.0, 0.0]), (4, [1.0, 0.0])], "vec_id long, embedding array<float>")).orderBy("vec_id").collect()] == [(None, 0, None, True), (4, 0, 4, True)]
 
