@@ -37,9 +37,10 @@ def perspectives(turns: DataFrame) -> DataFrame:
     # Null-safe equality is an ordinary hash join on (is null, value) and can be split when a dialogue is hot.
     people = people.withColumnRenamed("conv_id", "_conv")
     both = rows.join(people, F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv")
+    # Only the text travels; what stands around it is put there at the end.
     head = F.concat(F.lit(OPEN), rendered_role(F.col("speaker"), F.col("perspective")), F.lit(MIDDLE))
-    both = both.select("*", head.alias("head"), F.floor(F.col("turn") / SPAN).alias("span"))
-    both = both.select("*", F.concat("head", "text", F.lit(CLOSE)).alias("segment")).withColumn("n", F.length("segment").cast("long"))
+    n = (F.length(head) + F.length("text") + len(CLOSE)).cast("long")
+    both = both.select("*", n.alias("n"), F.floor(F.col("turn") / SPAN).alias("span"))
 
     key = ["conv_id", "perspective"]
     inside = Window.partitionBy(*key, "span").orderBy("turn", "speaker", "text")
@@ -56,10 +57,10 @@ def perspectives(turns: DataFrame) -> DataFrame:
         (F.col("_row") + F.col("_k0") - 1).cast("long").alias("seq"),
         "turn",
         "speaker",
-        "segment",
+        F.concat(head, "text", F.lit(CLOSE)).alias("segment"),
         (F.col("speaker") == F.col("perspective")).alias("trained"),
         start.cast("long").alias("start_char"),
-        (start + F.length("head")).cast("long").alias("content_start"),
+        (start + F.length(head)).cast("long").alias("content_start"),
         F.length("text").cast("long").alias("content_chars"),
     )
 
