@@ -89,17 +89,24 @@ class Memo:
     def __init__(self) -> None:
         self.now: dict = {}
         self.old: dict = {}
+        self.long: list = []
 
     def fill(self, keys: set, make) -> dict:
-        """A dict with the values of at least these keys; make() may leave out keys, which then have none."""
+        """A dict with the values of at least these keys; make() may leave out keys, which then have none.
+
+        Long keys are there until the next call only.
+        """
+        for k in self.long:
+            self.now.pop(k, None)
         new = keys.difference(self.now)
         here = {k: v for k in new if (v := self.old.get(k)) is not None}
         here |= make(list(new.difference(here)))
         if len(self.now) + len(here) > MEMO:
             self.old, self.now = self.now, {}
             here |= {k: v for k in keys if (v := self.old.get(k)) is not None}
-        self.now |= {k: v for k, v in here.items() if len(k) <= MEMO_CHARS}
-        return self.now | here if any(len(k) > MEMO_CHARS for k in here) else self.now
+        self.now |= here
+        self.long = [k for k in here if len(k) > MEMO_CHARS]
+        return self.now
 
 
 class ByteBPE:
