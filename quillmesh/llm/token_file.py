@@ -15,6 +15,7 @@ documents of their own. Other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_right
 
@@ -34,6 +35,8 @@ ROWS = 256
 CHUNK = 8
 DIRECTORY = 512
 MAGIC = b"DAC1"
+#: A word that ends in ASCII symbols; an apostrophe may belong to letters.
+TAIL = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]+)")
 #: Entries of one of the two generations of a worker's memo of words.
 MEMO = 350_000
 SHARD_SCHEMA = "part int, seq int, part_start long, n_tokens long, doc_ids array<long>, lengths array<long>, codes binary"
@@ -146,12 +149,13 @@ class WordEncoder:
 
     def learn(self, missing: list[bytes]) -> dict[bytes, bytes]:
         found: dict[bytes, bytes] = {}
-        core = {w: w[:-1] for w in missing if len(w) > 1 and w[-1:] in (b".", b",") and self.letters(w[:-1])}
-        wanted = list({core.get(w, w) for w in missing} | {w[-1:] for w in core})
+        # Letters and the symbols that follow them are separate matches of the pattern.
+        apart = {w: m.groups() for w in missing if (m := TAIL.fullmatch(w)) and b"<|" not in w and self.letters(m[1])}
+        wanted = list({w for w in missing if w not in apart} | {part for parts in apart.values() for part in parts})
         for start in range(0, len(wanted), 1000):
             self.learn_some(wanted[start : start + 1000], found)
-        for w, c in core.items():
-            found[w] = found[c] + found[w[-1:]]
+        for w, (core, tail) in apart.items():
+            found[w] = found[core] + found[tail]
         return found
 
     @staticmethod
