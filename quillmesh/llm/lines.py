@@ -1,9 +1,9 @@
 """Fuzzy line dedup by MinHash, on built-in expressions only.
 
-A line is what stands between line ends; lines with a word take part, whatever their length. Its set is the character
-shingles of up to 9 characters that begin at its words' starts, after lower-casing and trimming. Lines are linked if
-their sets' Jaccard similarity is at least 0.8 (8 bands of 3 minima: a pair at 0.8 is missed with probability 0.003, at
-0.9 with 3e-5; links are verified on the sets). Of every component of lines one line is kept: the first in the document
+A line is what stands between line ends; lines with a word take part, whatever their length. Its set is the shingles of
+9 characters at every position, after lower-casing and trimming; a shorter line is its own one shingle. Lines are linked
+if their sets' Jaccard similarity is at least 0.8 (8 bands of 3 minima: a pair at 0.8 is missed with probability 0.003,
+at 0.9 with 3e-5; links are verified on the sets). Of every component of lines one line is kept: the first in the document
 with the smallest doc_id. All other lines of the component go from their documents; everything else stays in place.
 
 Equal lines are one 64-bit hash of the normalised line. Minima are taken where lines are exploded, so a hot line is one
@@ -19,21 +19,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FILTER_WORDS, SPACES, WORD, cut, key_filter, own_name, thin
+from .common import FILTER_WORDS, SPACES, cut, key_filter, let, own_name, thin
 from .neighbours import linked_components, shared_buckets
 
 SHINGLE = 9
 PERCENT = 80
 BANDS, BAND = 8, 3
-_SPACE, _OTHER = "[\\x20\\x09-\\x0D]", WORD
+#: Bytes of a character in wide().
+WIDE = 4
 
 
 def normal(line: Column) -> Column:
     return F.lower(F.trim(line, F.lit(SPACES)))
 
 
-def shingles(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(f"(?s)(?:^|{_SPACE})(?=({_OTHER}.{{0,{SHINGLE - 1}}}))"), 1)
+def wide(line: Column) -> Column:
+    """The line as UTF-32, in which a shingle is looked up in constant time."""
+    return F.encode(line, "UTF-32")
+
+
+def starts(w: Column) -> Column:
+    return F.sequence(F.lit(0), F.greatest(F.shiftright(F.octet_length(w), 2) - SHINGLE, F.lit(0)))
+
+
+def shingle_hash(w: Column, at: Column) -> Column:
+    return F.xxhash64(F.substring(w, at * WIDE + 1, F.lit(SHINGLE * WIDE)))
+
+
+def shingle_hashes(line: Column) -> Column:
+    return let(wide(line), lambda w: F.array_distinct(F.transform(starts(w), lambda i: shingle_hash(w, i))))
 
 
 def occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -46,8 +60,8 @@ def occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def sketches(occ: DataFrame) -> DataFrame:
     """(id, first_doc, n, bands) of every distinct line."""
-    parts = occ.select("id", "doc", F.posexplode(shingles(F.col("line"))).alias("at", "shingle"))
-    parts = parts.select("id", "doc", F.when(F.col("at") == 0, 1).otherwise(0).alias("one"), F.xxhash64("shingle").alias("h"))
+    parts = occ.select("id", "doc", wide(F.col("line")).alias("w")).select("id", "doc", "w", F.explode(starts(F.col("w"))).alias("at"))
+    parts = parts.select("id", "doc", F.when(F.col("at") == 0, 1).otherwise(0).alias("one"), shingle_hash(F.col("w"), F.col("at")).alias("h"))
     least = [F.min(F.hash("h", F.lit(k))).alias(f"m{k}") for k in range(BANDS * BAND)]
     lines = parts.groupBy("id").agg(F.min("doc").alias("first_doc"), F.sum("one").alias("n"), *least)
     keys = [F.xxhash64(*[f"m{b * BAND + r}" for r in range(BAND)], F.lit(b)) for b in range(BANDS)]
@@ -55,9 +69,15 @@ def sketches(occ: DataFrame) -> DataFrame:
 
 
 def linked_at(percent: int):
+    """Whether the sets of two lines are linked: lines are carried as text, as their sets' hashes are eight times as long."""
+
     def linked(x: Column, y: Column) -> Column:
-        near = F.least(F.size(x), F.size(y)) * 100 >= F.greatest(F.size(x), F.size(y)) * percent
-        return near & (F.size(F.array_intersect(x, y)) * (100 + percent) >= (F.size(x) + F.size(y)) * percent)
+        def near(s: Column) -> Column:
+            a, b = s["a"], s["b"]
+            sizes = F.least(F.size(a), F.size(b)) * 100 >= F.greatest(F.size(a), F.size(b)) * percent
+            return sizes & (F.size(F.array_intersect(a, b)) * (100 + percent) >= (F.size(a) + F.size(b)) * percent)
+
+        return let(F.struct(shingle_hashes(x).alias("a"), shingle_hashes(y).alias("b")), near)
 
     return linked
 
@@ -70,13 +90,12 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percen
     near = live.select("id", F.lit(True).alias("near")).distinct()
     some = lines.join(near, "id", "left").where("n > 1 OR near").select("id", "first_doc", F.coalesce("near", F.lit(False)).alias("near"), F.when(F.col("near"), F.col("bands")).alias("bands"))
     some = cut(some, "some")
-    # All places of lines that may be repeated, with the set of those that may be near others, from one more look at the
+    # All places of lines that may be repeated, with the text of those that may be near others, from one more look at the
     # texts. The join is an inner one: Spark would move a semi-join below the filter.
     places = thin(occ, F.col("id"), key_filter(some, F.col("id"))).join(some, "id")
     chosen = F.col("near") & (F.col("doc") == F.col("first_doc"))
-    hashed = F.when(chosen, F.array_distinct(F.transform(shingles(F.when(chosen, F.col("line"))), lambda x: F.xxhash64(x))))
-    places = cut(places.select("doc", "version", "line_no", "id", F.when(chosen, F.col("bands")).alias("bands"), hashed.alias("facts")), "places")
-    # A line that its first document repeats gives the same set each time: one is taken.
+    places = cut(places.select("doc", "version", "line_no", "id", F.when(chosen, F.col("bands")).alias("bands"), F.when(chosen, F.col("line")).alias("facts")), "places")
+    # A line that its first document repeats gives the same text each time: one is taken.
     sets = places.where("facts IS NOT NULL").select("id", "bands", "facts").dropDuplicates(["id"])
     found = cut(linked_components(live, cut(sets, "linesets"), linked_at(percent)), "linecomponents")
 

@@ -309,3 +309,32 @@ def test_fuzzy_lines(spark):
         assert r["text"] == "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in lines_at or (d, i) in keep), d
         assert r["n_lines"] == len(t.split("\n")) and r["n_removed"] == sum(1 for i in range(len(t.split("\n"))) if (d, i) in lines_at - keep)
     assert lines.without_lines(docs.limit(0)).count() == 0
+
+
+def positions(line):
+    """An independent definition: the 9 characters at every position, a shorter line whole."""
+    line = line.strip(" \t\n\x0b\f\r").lower()
+    return {line[i : i + 9] for i in range(max(1, len(line) - 8))}
+
+
+def lines_left(spark, texts):
+    return [r["text"] for r in lines.without_lines(frame(spark, texts)).orderBy("doc_id").collect()]
+
+
+def kept_by_brute_force(texts):
+    """Of documents of one line each, the first line of every component."""
+    sets = [positions(t) for t in texts]
+    comp = components(len(texts), lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
+    return [t if i == c else "" for i, (t, c) in enumerate(zip(texts, comp, strict=True))]
+
+
+def test_fuzzy_lines_of_changed_ends(spark):
+    rng = random.Random(17)
+    texts = []
+    for _ in range(40):
+        base = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 12))) for _ in range(rng.randint(9, 14)))
+        texts += [base, base[:-1] + "z", base + " [1]"]
+    got = lines_left(spark, texts)
+    assert got == kept_by_brute_force(texts)
+    # One changed character at the end leaves all but one shingle: every variant goes.
+    assert [t != "" for t in got] == [True, False, False] * 40
