@@ -338,3 +338,13 @@ def test_fuzzy_lines_of_changed_ends(spark):
     assert got == kept_by_brute_force(texts)
     # One changed character at the end leaves all but one shingle: every variant goes.
     assert [t != "" for t in got] == [True, False, False] * 40
+
+
+def test_fuzzy_lines_that_begin_alike(spark):
+    urls = [f"https://www.example.org/{x}" for x in ("archive/2019/report", "people/contact", "terms")]
+    words = ["internationalisation", "internationally", "internationalist movements", "andththwhes.", "andththwhwh."]
+    unspaced = ["今天天气很好我们一起去公园散步吧", "今天天气很好我们一起在家里看电影", "🙂" * 9 + "αβγδεζηθ", "🙂" * 9 + "ικλμνξοπ", "🙂", "日", "日本"]
+    apart = urls + words + unspaced
+    near = ["長" + "今日本語文章空白無続行類似" * 2 + "丙丁戊己庚辛壬癸子丑寅卯辰巳午未申酉戌亥" + x for x in "甲乙"]
+    got = lines_left(spark, apart + near)
+    assert got == kept_by_brute_force(apart + near) == [*apart, near[0], ""]
