@@ -9,7 +9,8 @@ hashes in 32 bands of 4: at a similarity of 0.75 a pair misses all bands with pr
 agree too seldom (five standard deviations below 0.75) are dropped before their sets are compared.
 
 Null texts have no words. A null doc_id cannot be linked: its component_id is null and it is kept. Rows that repeat a
-doc_id are one document whose set is that of any of its texts. Extra columns do not matter.
+doc_id are one document whose set is that of any of its texts. Extra columns do not matter. A percentage below 75 is
+refused: bands and AGREE would miss most of its links.
 """
 
 from __future__ import annotations
@@ -142,6 +143,8 @@ def linked_at(percent: int = PERCENT):
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, for every row of docs (doc_id, text)."""
+    if percent < PERCENT:
+        raise ValueError(f"percent is {percent}, but the minima are made for {PERCENT} or more")
     rows = cut(signed(docs), "signed")
     classes = rows.where("same IS NOT NULL AND id IS NOT NULL").groupBy("same").agg(F.min("id").alias("rep"))
     classes = cut(classes, "classes")

@@ -278,6 +278,12 @@ def test_minhash(spark):
     assert len(nulls) == 5 and all(r["kept"] and r["component_id"] is None for r in nulls)
 
 
+def test_minhash_refuses_what_its_minima_miss():
+    for call in (minhash.near_duplicates, minhash.one_of_each):
+        with pytest.raises(ValueError, match="percent"):
+            call(None, percent=50)
+
+
 def line_shingles(line):
     line = line.strip(" \t\n\x0b\f\r").lower()
     return {line[m.start() : m.start() + 9] for m in WORD.finditer(line)}
