@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset on one machine (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: executors of a cluster need a folder that they share")
         if not _own_folder:
             _own_folder.append(tempfile.mkdtemp(prefix="quillmesh-"))
         folder = f"file://{_own_folder[0]}"
@@ -94,22 +96,61 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column], keep: l
 
 #: 2**18 words of 64 bits: 4 MB whatever the input, so it can be broadcast at any scale.
 FILTER_WORDS = 1 << 18
+#: Keys per bit beyond which a filter would let too much through to be worth its cost.
+FILTER_FULL = 0.5
 
 
-def key_filter(keys: DataFrame, key: Column) -> DataFrame:
-    """A bit set of at most FILTER_WORDS rows over the hashed keys, to thin out rows before a shuffle.
+def key_filter(keys: DataFrame, key: Column) -> DataFrame | None:
+    """A bit set of at most FILTER_WORDS rows over the hashed keys, to thin out rows before a shuffle; keys is a cut table.
 
-    It only ever lets too much through, so an exact join must follow; at a size where all bits are set it prunes
-    nothing and costs one broadcast of 4 MB.
+    It only ever lets too much through, so an exact join must follow. None where the keys are too many for it: the join
+    alone, which is a shuffle of all rows, is then the cheaper way.
     """
+    if keys.count() > FILTER_WORDS * 64 * FILTER_FULL:
+        return None
     h = F.pmod(F.xxhash64(key, F.lit("filter")), F.lit(FILTER_WORDS * 64))
     bits = keys.select(h.alias("_h")).select(F.shiftright("_h", 6).alias("_word"), F.expr("shiftleft(1L, cast(_h & 63 as int))").alias("_bit"))
     return bits.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
 
 
-def thin(df: DataFrame, key: Column, bits: DataFrame) -> DataFrame:
+def thin(df: DataFrame, key: Column, bits: DataFrame | None) -> DataFrame:
     """The rows of df whose key may be among those of key_filter()."""
+    if bits is None:
+        return df
     h = F.pmod(F.xxhash64(key, F.lit("filter")), F.lit(FILTER_WORDS * 64))
     marked = df.withColumn("_h", h).withColumn("_word", F.shiftright("_h", 6))
     hit = F.expr("(shiftrightunsigned(_bits, cast(_h & 63 as int)) & 1) = 1")
     return marked.join(F.broadcast(bits), "_word").where(hit).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def flagged(df: DataFrame, key: Column, bits: DataFrame | None, name: str) -> DataFrame:
+    """df with a column that says whether key may be among those of key_filter(); names of df's columns don't matter."""
+    if bits is None:
+        return df.withColumn(name, F.lit(True))
+    marked = df.withColumn(name, F.pmod(F.xxhash64(key, F.lit("filter")), F.lit(FILTER_WORDS * 64)))
+    word, held = own_name(marked, "word"), own_name(marked, "held")
+    marked = marked.withColumn(word, F.shiftright(name, 6)).join(F.broadcast(bits.select(F.col("_word").alias(word), F.col("_bits").alias(held))), word, "left")
+    hit = F.expr(f"(shiftrightunsigned(`{held}`, cast(`{name}` & 63 as int)) & 1) = 1")
+    return marked.withColumn(name, F.coalesce(hit, F.lit(False))).drop(word, held)
+
+
+#: A key with more than 1 / SHARES of all rows is hot: there are fewer than SHARES of those, whatever the input.
+SHARES = 1000
+#: Keys of this many rows are never hot.
+COOL = 256
+
+
+def skew_join(rows: DataFrame, facts: DataFrame, on: list[str], n: str, ready: bool = False) -> DataFrame:
+    """rows joined to facts, which has one row for each key with the number of its rows as n; ready: facts is a cut table.
+
+    Hot keys' facts, fewer than SHARES rows, are broadcast, so that their rows stay where they are; only the rows of
+    other keys are shuffled.
+    """
+    facts = facts if ready else cut(facts, "facts")
+    total, largest = facts.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
+    most = max(total // SHARES, COOL)
+    if largest <= most:
+        return rows.join(facts, on)
+    hot = facts.where(F.col(n) > most)
+    key = F.broadcast(hot.select(*on))
+    return rows.join(F.broadcast(hot), on).unionByName(rows.join(key, on, "left_anti").join(facts.where(F.col(n) <= most), on))

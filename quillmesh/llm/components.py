@@ -3,7 +3,8 @@
 Large-star links every larger neighbour of a node to the smallest id around the node; small-star links a node and its
 smaller neighbours to the smallest of them. Both keep the components, and alternating them ends with every node linked
 to its component's smallest id. A node's neighbours are never gathered: the smallest comes from an aggregation with
-partial sums, and is joined back, so that a hub is split over many tasks. Every round is cut.
+partial sums and is joined back, for hubs by a broadcast of at most SHARES rows, so that no task gets a hub's
+neighbours. Every round is cut.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop
+from .common import cut, drop, skew_join
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,13 +23,15 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     while not is_star(now):
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("many")).select("u", F.least("u", "m").alias("m"), "many")
+        large = skew_join(both.where("v > u"), least, ["u"], "many").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = cut(large.distinct(), "large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("many"))
+        small = skew_join(large, least, ["u"], "many")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).distinct()
         before, now = now, cut(small, "edges")
         drop(before)
+        drop(large)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component_id"))
 
 

@@ -2,12 +2,13 @@
 
 A line is what stands between line ends; lines with a word take part, whatever their length. Its set is the shingles of
 9 characters at every position, after lower-casing and trimming; a shorter line is its own one shingle. Lines are linked
-if their sets' Jaccard similarity is at least 0.8 (8 bands of 3 minima: a pair at 0.8 is missed with probability 0.003,
-at 0.9 with 3e-5; links are verified on the sets). Of every component of lines one line is kept: the first in the document
-with the smallest doc_id. All other lines of the component go from their documents; everything else stays in place.
+if their sets' Jaccard similarity is at least 0.8 (12 bands of 3 of 16 minima: a pair at 0.8 is missed with probability
+0.0033, at 0.9 with 6e-5; links are verified on the sets). Of every component of lines one line is kept: the first in the
+document with the smallest doc_id. All other lines of the component go from their documents; everything else stays.
 
-Equal lines are one 64-bit hash of the normalised line. Minima are taken where lines are exploded, so a hot line is one
-row for each task. A document's removed line numbers are gathered, which its text bounds.
+Equal lines are equal in two 64-bit hashes of the normalised line. The texts are read once for all minima, then for the
+lines that share a band with others, then for the result. Hot lines and components are never gathered into one task. A
+document's removed line numbers are gathered, which its text bounds.
 
 Null texts have no lines and stay null. Documents with a null doc_id are left as they are and remove nothing elsewhere.
 Rows that repeat a doc_id are one document for this purpose, and each of them keeps its own first line. Ties cannot
@@ -16,15 +17,26 @@ occur. Extra columns pass through; an input column named like an added one is re
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FILTER_WORDS, SPACES, cut, key_filter, let, own_name, thin
-from .neighbours import linked_components, shared_buckets
+from .common import SPACES, cut, drop, flagged, key_filter, let, own_name, skew_join, thin
+from .neighbours import linked_components, may_link, shared_buckets
 
 SHINGLE = 9
 PERCENT = 80
-BANDS, BAND = 8, 3
+#: Of every shingle's BASES hashes each is compared under several masks: the least of h XOR mask is a minimum of its own.
+MINIMA, BASES = 16, 4
+MASKS = [random.Random(f"mask {k}").randrange(-(1 << 31), 1 << 31) for k in range(MINIMA)]
+#: Bands of three minima of different hashes; no two minima are together in two bands.
+BANDS = (
+    (0, 6, 8), (0, 10, 15), (1, 5, 15), (1, 7, 10), (1, 8, 14), (2, 4, 13),
+    (2, 8, 15), (3, 6, 12), (3, 9, 13), (4, 9, 14), (5, 11, 12), (7, 11, 14),
+)
+#: Words of 64 bits of a set's odd sketch.
+WORDS = 16
 #: Bytes of a character in wide().
 WIDE = 4
 
@@ -42,30 +54,42 @@ def starts(w: Column) -> Column:
     return F.sequence(F.lit(0), F.greatest(F.shiftright(F.octet_length(w), 2) - SHINGLE, F.lit(0)))
 
 
-def shingle_hash(w: Column, at: Column) -> Column:
-    return F.xxhash64(F.substring(w, at * WIDE + 1, F.lit(SHINGLE * WIDE)))
+def shingle(w: Column, at: Column) -> Column:
+    return F.substring(w, at * WIDE + 1, F.lit(SHINGLE * WIDE))
 
 
 def shingle_hashes(line: Column) -> Column:
-    return let(wide(line), lambda w: F.array_distinct(F.transform(starts(w), lambda i: shingle_hash(w, i))))
+    return let(wide(line), lambda w: F.array_distinct(F.transform(starts(w), lambda i: F.xxhash64(shingle(w, i)))))
 
 
 def occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc, version, line_no, id, line): every line with a word, normalised. version tells rows of one doc_id apart."""
+    """(doc, version, line_no, raw): every line. version tells rows of one doc_id apart."""
     rows = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull())
-    rows = rows.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("version"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "raw"))
-    rows = rows.select("doc", "version", "line_no", normal(F.col("raw")).alias("line")).where("line <> ''")
-    return rows.select("doc", "version", "line_no", F.xxhash64("line").alias("id"), "line")
+    return rows.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("version"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "raw"))
+
+
+def sketched(occ: DataFrame) -> DataFrame:
+    """(doc, version, line_no, id, twin, m0 ...): every line with a word, with its minima; id and twin are its hashes."""
+    key = ["doc", "version", "line_no", "id", "twin"]
+    rows = occ.select("doc", "version", "line_no", normal(F.col("raw")).alias("line")).where("line <> ''")
+    rows = rows.select("doc", "version", "line_no", F.xxhash64("line").alias("id"), F.xxhash64(F.lit("twin"), "line").alias("twin"), wide(F.col("line")).alias("w"))
+    parts = rows.select(*key, "w", F.explode(starts(F.col("w"))).alias("at")).select(*key, F.hash(shingle(F.col("w"), F.col("at"))).alias("h0"))
+    parts = parts.select("*", *[F.hash("h0", F.lit(g)).alias(f"h{g}") for g in range(1, BASES)])
+    least = [F.min(F.col(f"h{k * BASES // MINIMA}").bitwiseXOR(F.lit(mask))).alias(f"m{k}") for k, mask in enumerate(MASKS)]
+    return parts.groupBy(*key).agg(*least)
+
+
+def band_keys() -> Column:
+    return F.array(*[F.xxhash64(*[f"m{k}" for k in band], F.lit(b)) for b, band in enumerate(BANDS)])
 
 
-def sketches(occ: DataFrame) -> DataFrame:
-    """(id, first_doc, n, bands) of every distinct line."""
-    parts = occ.select("id", "doc", wide(F.col("line")).alias("w")).select("id", "doc", "w", F.explode(starts(F.col("w"))).alias("at"))
-    parts = parts.select("id", "doc", F.when(F.col("at") == 0, 1).otherwise(0).alias("one"), shingle_hash(F.col("w"), F.col("at")).alias("h"))
-    least = [F.min(F.hash("h", F.lit(k))).alias(f"m{k}") for k in range(BANDS * BAND)]
-    lines = parts.groupBy("id").agg(F.min("doc").alias("first_doc"), F.sum("one").alias("n"), *least)
-    keys = [F.xxhash64(*[f"m{b * BAND + r}" for r in range(BAND)], F.lit(b)) for b in range(BANDS)]
-    return lines.select("id", "first_doc", "n", F.array(*keys).alias("bands"))
+def small_sets(lines: DataFrame) -> DataFrame:
+    """(id, small) of lines (id, line): the number of distinct shingles and their odd sketch."""
+    parts = lines.select("id", F.explode(shingle_hashes(F.col("line"))).alias("h"))
+    word, bit = "(h >> 6) & 15", "shiftleft(1L, cast(h & 63 as int))"
+    bits = [F.expr(f"bit_xor(CASE WHEN {word} = {i} THEN {bit} ELSE 0L END)").alias(f"w{i}") for i in range(WORDS)]
+    sums = parts.groupBy("id").agg(F.count(F.lit(1)).alias("n"), *bits)
+    return sums.select("id", F.struct("n", F.array(*[f"w{i}" for i in range(WORDS)]).alias("bits")).alias("small"))
 
 
 def linked_at(percent: int):
@@ -74,76 +98,80 @@ def linked_at(percent: int):
     def linked(x: Column, y: Column) -> Column:
         def near(s: Column) -> Column:
             a, b = s["a"], s["b"]
-            sizes = F.least(F.size(a), F.size(b)) * 100 >= F.greatest(F.size(a), F.size(b)) * percent
-            return sizes & (F.size(F.array_intersect(a, b)) * (100 + percent) >= (F.size(a) + F.size(b)) * percent)
+            return F.size(F.array_intersect(a, b)) * (100 + percent) >= (F.size(a) + F.size(b)) * percent
 
         return let(F.struct(shingle_hashes(x).alias("a"), shingle_hashes(y).alias("b")), near)
 
     return linked
 
 
+def linked_lines(places: DataFrame, lines: DataFrame, occ: DataFrame, percent: int) -> DataFrame:
+    """(id, twin, comp) of the lines in components of several lines."""
+    live = shared_buckets(lines.select("id", band_keys().alias("bands")))
+    ids = cut(live.select("id").distinct(), "liveids")
+    # One place of each of these lines, whose text is then taken from the documents.
+    first = thin(lines.select("id", "first_doc"), F.col("id"), key_filter(ids, F.col("id"))).join(ids, "id")
+    bits = key_filter(ids, F.col("id"))
+    spots = thin(places.select("doc", "version", "line_no", "id", "twin"), F.col("id"), bits).join(first, (places["id"] == first["id"]) & (F.col("doc") == F.col("first_doc"))).drop(first["id"]).drop("first_doc")
+    spots = cut(spots.dropDuplicates(["id"]), "spots")
+    at = lambda: F.xxhash64("doc", "version", "line_no")
+    texts = thin(occ, at(), key_filter(spots, at())).join(spots, ["doc", "version", "line_no"])
+    texts = cut(texts.select("id", "twin", normal(F.col("raw")).alias("line")).dropDuplicates(["id"]), "linetexts")
+    sets = cut(texts.select("id", F.col("line").alias("facts")).join(small_sets(texts), "id"), "linesets")
+    found = cut(linked_components(live, sets, may_link(percent, WORDS), linked_at(percent)), "linecomponents")
+    every = found.select(F.col("node").alias("id"), F.col("component_id").alias("comp"))
+    every = every.unionAll(found.select(F.col("component_id").alias("id"), F.col("component_id").alias("comp")).distinct())
+    # A line whose hash another line shares by chance is not taken for it: both hashes must agree.
+    return every.join(texts.select("id", "twin"), "id")
+
+
 def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(doc, version, gone): the numbers of the lines that go."""
     occ = occurrences(docs, doc_id, text)
-    lines = cut(sketches(occ), "lines")
-    live = shared_buckets(lines.select("id", "bands"))
-    near = live.select("id", F.lit(True).alias("near")).distinct()
-    some = lines.join(near, "id", "left").where("n > 1 OR near").select("id", "first_doc", F.coalesce("near", F.lit(False)).alias("near"), F.when(F.col("near"), F.col("bands")).alias("bands"))
-    some = cut(some, "some")
-    # All places of lines that may be repeated, with the text of those that may be near others, from one more look at the
-    # texts. The join is an inner one: Spark would move a semi-join below the filter.
-    places = thin(occ, F.col("id"), key_filter(some, F.col("id"))).join(some, "id")
-    chosen = F.col("near") & (F.col("doc") == F.col("first_doc"))
-    places = cut(places.select("doc", "version", "line_no", "id", F.when(chosen, F.col("bands")).alias("bands"), F.when(chosen, F.col("line")).alias("facts")), "places")
-    # A line that its first document repeats gives the same text each time: one is taken.
-    sets = places.where("facts IS NOT NULL").select("id", "bands", "facts").dropDuplicates(["id"])
-    found = cut(linked_components(live, cut(sets, "linesets"), linked_at(percent)), "linecomponents")
-
-    joined = lines.select("id", "first_doc", "n").join(found.withColumnRenamed("node", "id"), "id", "left")
-    joined = joined.join(found.select(F.col("component_id").alias("id"), F.lit(True).alias("root")).distinct(), "id", "left")
-    many = joined.where("n > 1 OR component_id IS NOT NULL OR root").select("id", "first_doc", F.coalesce("component_id", "id").alias("comp"))
-    many = cut(many, "repeated")
-    # Only components of several lines need the smallest of their documents.
-    multi = many.where("id <> comp").groupBy("comp").agg(F.min("first_doc").alias("other"))
-    many = many.join(multi, "comp", "left")
-    own = many.where("id = comp").select("comp", F.least("first_doc", F.coalesce("other", "first_doc")).alias("keep_doc"))
-    many = cut(many.select("id", "comp").join(own, "comp"), "keepers")
-
-    narrow = places.join(many, "id").select("doc", "version", "line_no", "comp", (F.col("doc") == F.col("keep_doc")).alias("keeps"))
-    narrow = cut(narrow, "candidates")
-    first = narrow.where("keeps").groupBy("doc", "version", "comp").agg(F.min("line_no").alias("line_no"))
-    gone = narrow.join(first, ["doc", "version", "comp", "line_no"], "left_anti")
+    places = cut(sketched(occ), "places")
+    lines = places.groupBy("id", "twin").agg(F.min("doc").alias("first_doc"), F.count(F.lit(1)).alias("n"), *[F.min(f"m{k}").alias(f"m{k}") for k in range(MINIMA)])
+    lines = cut(lines, "lines")
+    near = linked_lines(places, lines, occ, percent)
+
+    # Lines that are repeated or near others, their component, and the smallest of its documents.
+    many = lines.select("id", "twin", "first_doc", "n").join(near, ["id", "twin"], "left").where("n > 1 OR comp IS NOT NULL")
+    many = cut(many.select("id", "twin", "first_doc", "n", F.coalesce("comp", "id").alias("comp"), F.when(F.col("comp").isNull(), F.col("twin")).otherwise(0).alias("alone")), "repeated")
+    keep = many.groupBy("comp", "alone").agg(F.min("first_doc").alias("keep_doc"), F.count(F.lit(1)).alias("many"))
+    many = cut(skew_join(many, keep, ["comp", "alone"], "many").select("id", "twin", "n", "comp", "alone", "keep_doc"), "keepers")
+    drop(lines)
+
+    narrow = thin(places.select("doc", "version", "line_no", "id", "twin"), F.col("id"), key_filter(many, F.col("id")))
+    narrow = skew_join(narrow, many, ["id", "twin"], "n", ready=True)
+    narrow = cut(narrow.select("doc", "version", "line_no", "comp", "alone", (F.col("doc") == F.col("keep_doc")).alias("keeps")), "candidates")
+    drop(places)
+    key = ["doc", "version", "comp", "alone"]
+    kept = narrow.where("keeps")
+    again = kept.join(kept.groupBy(*key).agg(F.min("line_no").alias("stays")), key).where("line_no > stays")
+    gone = narrow.where("NOT keeps").select("doc", "version", "line_no").unionAll(again.select("doc", "version", "line_no"))
     return gone.groupBy("doc", "version").agg(F.collect_set("line_no").alias("gone"))
 
 
-def without_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """docs with the kept lines as text, plus n_lines (all) and n_removed."""
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_removed")])
+def without_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, added: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """docs with the kept lines as text, plus the numbers of all and of removed lines under the names `added`."""
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in added])
     gone = cut(removals(docs, doc_id, text, percent), "gone")
     doc, version, maybe, removed = (own_name(docs, c) for c in ("doc", "version", "maybe", "gone"))
     # Documents that lose nothing need no shuffle: most are told apart by a bit set of fixed size.
-    bits = key_filter(gone, F.col("doc"))
-    h = F.pmod(F.xxhash64(F.col(doc_id).cast("long"), F.lit("filter")), F.lit(FILTER_WORDS * 64))
-    marked = docs.withColumn(maybe, h)
-    word, held = own_name(marked, "word"), own_name(marked, "held")
-    bit = F.expr(f"(shiftrightunsigned(`{held}`, cast(`{maybe}` & 63 as int)) & 1) = 1")
-    marked = marked.withColumn(word, F.shiftright(maybe, 6)).join(F.broadcast(bits.select(F.col("_word").alias(word), F.col("_bits").alias(held))), word, "left")
-    marked = marked.withColumn(maybe, F.coalesce(bit, F.lit(False))).drop(word, held)
-    n_lines = F.coalesce(F.size(F.split(F.col(text), "\n", -1)), F.lit(0))
-    rest = marked.where(f"NOT `{maybe}`").drop(maybe).withColumns({"n_lines": F.when(F.col(text).isNull(), 0).otherwise(n_lines), "n_removed": F.lit(0)})
-    hit = marked.where(f"`{maybe}`").drop(maybe).withColumn(version, F.xxhash64(text)).withColumn(doc, F.col(doc_id).cast("long"))
-    hit = hit.join(gone.select(F.col("doc").alias(doc), F.col("version").alias(version), F.col("gone").alias(removed)), [doc, version], "left")
+    marked = flagged(docs, F.col(doc_id).cast("long"), key_filter(gone, F.col("doc")), maybe)
     lines = F.split(F.col(text), "\n", -1)
+    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines))
+    rest = marked.where(f"NOT `{maybe}`").withColumns({added[0]: n_lines, added[1]: F.lit(0)})
+    hit = marked.where(f"`{maybe}`").withColumns({version: F.xxhash64(text), doc: F.col(doc_id).cast("long")})
+    hit = hit.join(gone.select(F.col("doc").alias(doc), F.col("version").alias(version), F.col("gone").alias(removed)), [doc, version], "left")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(removed))
     # The split lines are bound once; looking one up is then constant time.
-    rebuilt = F.get(F.transform(F.array(lines), lambda ls: F.array_join(F.transform(kept, lambda i: F.get(ls, i)), "\n")), F.lit(0))
+    rebuilt = let(lines, lambda ls: F.array_join(F.transform(kept, lambda i: F.get(ls, i)), "\n"))
     hit = hit.withColumns({
-        "n_lines": F.when(F.col(text).isNull(), 0).otherwise(n_lines),
-        "n_removed": F.coalesce(F.size(removed), F.lit(0)),
+        added[0]: n_lines,
+        added[1]: F.coalesce(F.size(removed), F.lit(0)),
         text: F.when(F.col(removed).isNull(), F.col(text)).otherwise(rebuilt),
     })
-    columns = [*docs.columns, "n_lines", "n_removed"]
-    pick = [F.col(f"`{c}`") for c in columns]
+    pick = [F.col(f"`{c}`") for c in (*docs.columns, *added)]
     return rest.select(*pick).unionByName(hit.select(*pick))
 
 

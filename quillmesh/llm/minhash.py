@@ -5,12 +5,12 @@ words the whole sequence is its one shingle; without words it has none and is li
 if 100 * intersection >= 75 * union, on full sets of 64-bit shingle hashes.
 
 Documents with the same words form one class, whose smallest doc_id stands for it. A class has 128 minima of universal
-hashes in 32 bands of 4: at a similarity of 0.75 a pair misses all bands with probability 6e-6. Candidates whose minima
-agree too seldom (five standard deviations below 0.75) are dropped before their sets are compared.
+hashes in 32 bands of 4: at a similarity of 0.75 a pair misses all bands with probability 6e-6. Candidates are dropped
+by size and odd sketch where these prove that they cannot be linked, and checked on their full sets otherwise.
 
 Null texts have no words. A null doc_id cannot be linked: its component_id is null and it is kept. Rows that repeat a
-doc_id are one document whose set is that of any of its texts. Extra columns do not matter. A percentage below 75 is
-refused: bands and AGREE would miss most of its links.
+doc_id with different texts are one document, which all of its texts link to others; each row has the set of its own
+text. Extra columns do not matter. A percentage below 75 is refused: the bands would miss most of its links.
 """
 
 from __future__ import annotations
@@ -23,14 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, key_filter, own_name, thin
-from .neighbours import linked_components, shared_buckets
+from .common import cut, key_filter, own_name, skew_join, thin
+from .components import components
+from .neighbours import linked_components, may_link, shared_buckets
 
 WORDS = 5
 PERCENT = 75
 BANDS, BAND = 32, 4
-#: Of the 128 minima, at least this many agree: 128 * 0.75 less five standard deviations of 4.9.
-AGREE = 71
+#: Words of 64 bits of a set's odd sketch.
+SKETCH = 32
 ROWS = 256
 #: Word hashes that a worker remembers.
 MEMO = 300_000
@@ -91,6 +92,10 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return mixed(rows + np.arange(BANDS, dtype="u8") * np.uint64(0x9E3779B97F4A7C15)).view("i8")
 
 
+def digest(words: list[bytes]) -> bytes | None:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None
+
+
 def signed(docs: DataFrame) -> DataFrame:
     """(id, n_shingles, same, bands): `same` is the digest of the words; both it and bands are null without words."""
 
@@ -103,40 +108,44 @@ def signed(docs: DataFrame) -> DataFrame:
                     words = sequence(text)
                     hashes = shingles(words)
                     n.append(len(hashes))
-                    same.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None)
+                    same.append(digest(words))
                     bands.append(band_keys(minima(hashes)) if words else None)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "n_shingles", "same", "bands"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "id long, n_shingles long, same binary, bands array<long>")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, bands, facts): the minima and full set of the documents among ids (each once)."""
+def odd_sketch(hashes: np.ndarray) -> np.ndarray:
+    """SKETCH words, whose bit i is the parity of the hashes that end in i."""
+    at, n = np.unique(hashes & np.uint64(SKETCH * 64 - 1), return_counts=True)
+    bits = np.zeros(SKETCH * 64, bool)
+    bits[at[n % 2 == 1].astype("i8")] = True
+    return np.packbits(bits, bitorder="little").view("<i8")
+
+
+def full_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, same, small, facts): size, odd sketch and full set of the texts of the classes (id, same), each once."""
 
     def work(batches):
         for whole in batches:
             for start in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(start, ROWS)
-                sets = [shingles(sequence(t)) for t in batch.column(1).to_pylist()]
-                least = [minima(s) if len(s) else np.zeros(BANDS * BAND, "u8") for s in sets]
-                columns = [pa.array([band_keys(m) for m in least], pa.list_(pa.int64())), pa.array([m.astype("u4").view("i4") for m in least], pa.list_(pa.int32())), pa.array([s.view("i8") for s in sets], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "bands", "sig", "hashes"])
+                words = [sequence(t) for t in batch.column(1).to_pylist()]
+                sets = [shingles(w) for w in words]
+                columns = [pa.array([digest(w) for w in words], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([odd_sketch(s) for s in sets], pa.list_(pa.int64())), pa.array([s.view("i8") for s in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "same", "n", "bits", "facts"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    # An inner join: Spark would move a semi-join below the filter.
-    rows = thin(rows, F.col("id"), key_filter(ids, F.col("id"))).join(ids, "id").select("id", "text")
-    sets = rows.mapInArrow(work, "id long, bands array<long>, sig array<int>, hashes array<long>")
-    return sets.dropDuplicates(["id"]).select("id", "bands", F.struct("sig", "hashes").alias("facts"))
+    rows = thin(rows, F.col("id"), key_filter(classes, F.col("id"))).join(classes.select("id").distinct(), "id").select("id", "text")
+    sets = rows.mapInArrow(work, "id long, same binary, n long, bits array<long>, facts array<long>")
+    # Another text of the same doc_id may not be a class's first.
+    sets = sets.join(classes, ["id", "same"]).dropDuplicates(["id", "same"])
+    return sets.select("id", "same", F.struct("n", "bits").alias("small"), "facts")
 
 
 def linked_at(percent: int = PERCENT):
-    """Whether two sets pass by size, by their minima, and exactly."""
-
-    def linked(x, y):
-        a, b = x["hashes"], y["hashes"]
-        agree = F.size(F.filter(F.zip_with(x["sig"], y["sig"], lambda p, q: p == q), lambda same: same)) >= AGREE
-        near = F.least(F.size(a), F.size(b)) * 100 >= F.greatest(F.size(a), F.size(b)) * percent
-        return near & agree & (F.size(F.array_intersect(a, b)) * (100 + percent) >= (F.size(a) + F.size(b)) * percent)
+    def linked(a, b):
+        return F.size(F.array_intersect(a, b)) * (100 + percent) >= (F.size(a) + F.size(b)) * percent
 
     return linked
 
@@ -146,18 +155,23 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     if percent < PERCENT:
         raise ValueError(f"percent is {percent}, but the minima are made for {PERCENT} or more")
     rows = cut(signed(docs), "signed")
-    classes = rows.where("same IS NOT NULL AND id IS NOT NULL").groupBy("same").agg(F.min("id").alias("rep"))
-    classes = cut(classes, "classes")
-    members = rows.where("same IS NOT NULL").join(classes, (rows["same"] == classes["same"]) & (rows["id"] == classes["rep"])).select("id", "bands")
-    live = shared_buckets(members)
-    sets = cut(full_sets(docs, live.select("id").distinct()), "sets")
-    found = cut(linked_components(live, sets, linked_at(percent)), "linked")
-    reps = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("component_id", "rep").alias("class_component"))
-    out = rows.select("id", "n_shingles", "same").join(reps, "same", "left")
-    component = F.coalesce("class_component", "id")
-    component = F.when(F.col("id").isNotNull(), component)
-    out = out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    full = rows.where("same IS NOT NULL AND id IS NOT NULL")
+    classes = cut(full.groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("many")), "classes")
+    firsts = full.join(classes.select("same", F.col("rep").alias("id")), ["same", "id"]).dropDuplicates(["same", "id"])
+    live = shared_buckets(firsts.select("id", "bands"))
+    ids = cut(live.select(F.col("id").alias("rep")).distinct(), "liveids")
+    sets = cut(full_sets(docs, cut(classes.join(ids, "rep").select(F.col("rep").alias("id"), "same"), "liveclasses")), "sets")
+    found = cut(linked_components(live, sets.drop("same"), may_link(percent, SKETCH), linked_at(percent)), "linked")
+    # A doc_id with several texts is one document: it links the classes of its texts.
+    several = full.groupBy("id").agg(F.min(F.xxhash64("same")).alias("x"), F.max(F.xxhash64("same")).alias("y")).where("x <> y")
+    several = full.join(several.select("id"), "id").select("id", "same").distinct().join(classes, "same").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    several = cut(several.where("a <> b"), "several")
+    if not several.isEmpty():
+        found = components(found.select(F.col("node").alias("a"), F.col("component_id").alias("b")).unionAll(several))
+    comps = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("same", "many", F.coalesce("component_id", "rep").alias("component_id"))
+    out = skew_join(full.select("id", "n_shingles", "same"), comps, ["same"], "many").select("id", "n_shingles", "component_id")
+    out = out.unionByName(rows.where("same IS NULL OR id IS NULL").select("id", "n_shingles", F.col("id").alias("component_id")))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

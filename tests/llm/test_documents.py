@@ -278,17 +278,33 @@ def test_minhash(spark):
     assert len(nulls) == 5 and all(r["kept"] and r["component_id"] is None for r in nulls)
 
 
+def test_minhash_of_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    near = a.replace("a39", "changed")
+    rows = [(5, a), (5, b), (5, a), (8, near), (9, b + " more"), (2, c), (None, a), (None, "alone"), (4, b)]
+    got = sorted(((r["doc_id"] or 0), r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["doc_id"])
+    # All texts of doc_id 5 are one document: it links those near a to those near b.
+    assert got == [(2, 36, 2, True), (4, 36, 4, True), (5, 36, 4, False), (5, 36, 4, False), (5, 36, 4, False), (8, 36, 4, False), (9, 37, 4, False)]
+
+
+def test_minhash_of_a_very_long_text(spark):
+    rng = random.Random(23)
+    words = [f"w{rng.randrange(5000)}" for _ in range(40_000)]
+    changed = [w if i % 100 else "changed" for i, w in enumerate(words)]
+    other = [w if i % 9 else "other" for i, w in enumerate(words)]
+    texts = [" ".join(words), " ".join(changed), " ".join(other)]
+    got = {r["doc_id"]: r for r in minhash.near_duplicates(frame(spark, texts)).collect()}
+    sets = [shingle_set(t) for t in texts]
+    want = components(3, lambda x, y: 100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y]))
+    assert [got[i]["component_id"] for i in range(3)] == want == [0, 0, 2]
+
+
 def test_minhash_refuses_what_its_minima_miss():
     for call in (minhash.near_duplicates, minhash.one_of_each):
         with pytest.raises(ValueError, match="percent"):
             call(None, percent=50)
 
 
-def line_shingles(line):
-    line = line.strip(" \t\n\x0b\f\r").lower()
-    return {line[m.start() : m.start() + 9] for m in WORD.finditer(line)}
-
-
 def test_fuzzy_lines(spark):
     rng = random.Random(11)
     pool = [t for t in variants(3) if t and t.strip()]
@@ -296,7 +312,7 @@ def test_fuzzy_lines(spark):
     texts += ["x" * 3000 + " a b c", "x" * 3000 + " a b c\nfresh line of words"]
     docs = frame(spark, texts).withColumn("gone", F.lit(7)).withColumn("N_removed", F.lit(1))
     at = [(d, i, x) for d, t in enumerate(texts) for i, x in enumerate((t or "").split("\n")) if WORD.search(x)]
-    sets = [line_shingles(x) for _, _, x in at]
+    sets = [positions(x) for _, _, x in at]
     comp = components(len(at), lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
     keep, seen = set(), set()
     for (d, i, _), c in zip(at, comp, strict=True):
@@ -323,6 +339,15 @@ def positions(line):
     return {line[i : i + 9] for i in range(max(1, len(line) - 8))}
 
 
+def test_fuzzy_lines_of_null_and_repeated_ids(spark):
+    line = "one line of some words that stands in several documents"
+    rows = [(None, f"{line}\nnull id"), (7, f"{line}\nfirst text"), (7, f"other start\n{line}\n{line}"), (7, f"{line}\nfirst text"), (9, f"{line}\nlast"), (None, None), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["text"] or "", r["n_removed"]) for r in lines.without_lines(docs).collect())
+    # Rows of one doc_id each keep their first such line; a null doc_id neither loses nor removes lines.
+    assert got == sorted([(0, f"{line}\nnull id", 0), (7, f"{line}\nfirst text", 0), (7, f"other start\n{line}", 1), (7, f"{line}\nfirst text", 0), (9, "last", 1), (0, "", 0), (3, "", 0)])
+
+
 def lines_left(spark, texts):
     return [r["text"] for r in lines.without_lines(frame(spark, texts)).orderBy("doc_id").collect()]
 
