@@ -160,8 +160,8 @@ class WordEncoder:
 
     @staticmethod
     def letters(word: bytes) -> bool:
-        """Only letters below U+0250, which every version of Unicode agrees on."""
-        return word.isalpha() or max(text := word.decode()) < "ɐ" and text.isalpha()
+        """Only letters below U+0250, which every version of Unicode agrees on, in the lower case that the library takes: İ becomes two characters, the second no letter."""
+        return word.isalpha() or max(text := word.decode().lower()) < "ɐ" and text.isalpha()
 
     def learn_some(self, wanted: list[bytes], found: dict[bytes, bytes]) -> None:
         plain = [w for w in wanted if b"<|" not in w and b"\x01" not in w] if self.separator is not None else []

@@ -132,6 +132,20 @@ def test_codes_are_addressable():
             assert (codes.slice(a, b) == ids[a:b]).all()
 
 
+def test_words_equal_library_on_odd_letters():
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(token_file.VOCABULARY)
+    rng, library, words = random.Random(31), Tokenizer.from_file(path), token_file.encoder(path)
+    pieces = ["İ", "I", "ı", "i", "BİLGİ", "Aİ", "é", "e\u0301", "ẞ", "ß", "Σ", "ς", "ŉ", "Ǆ", "K", "Å", "½", "ª", "中", "🙂", "'s", "'", "-", ".", ",", "(", "!", "<|endoftext|>", "<|", " ", " ", "\n", "\u00a0", "\u0307", "\u200d", "a", "b", "the", "42", "\x01", "x"]
+    texts = ["İ-", "BİLGİ.", "Aİ,", "İİ!"] + ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 12))) for _ in range(20_000)]
+    for start in range(0, len(texts), 1000):
+        some = texts[start : start + 1000]
+        for text, ids, want in zip(some, words.encode(some), library.encode_batch(some, add_special_tokens=False), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == want.ids, repr(text)
+
+
 def test_token_file(spark):
     import numpy as np
     from tokenizers import Tokenizer
