@@ -1,8 +1,9 @@
 """Content-addressed web archive.
 
 Payload bytes are stored once, under their SHA-256, verified by a second digest and the length when they are written
-and by the first when they are read. Exact WARC record headers are a table of their own. Records, whole or as facts
-about their payload, come back by joining the two on the digest.
+and by the first when they are read. Exact WARC record headers are a table of their own. Records come back byte for byte
+by joining the two on the digest; what a query says of them is parsed from those bytes, and a revisit's payload is that of
+the response it refers to.
 
 A null html is the empty payload, and the empty payload is a payload like any other. Of records with equal payloads
 the smallest page_id is the response and the others revisit it; payloads under `least_bytes` are all responses. A null
@@ -17,7 +18,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, skew_join
 
 #: Fixed values of the format.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -59,9 +60,9 @@ def archive(pages: DataFrame, least_bytes: int = 0, date: str = DATE) -> Archive
     store = cut(facts.groupBy("sha256").agg(*same).select("sha256", verified.alias("payload")), "payloads")
 
     narrow = facts.select("page_id", "url", "sha256", "sha1", "n")
-    firsts = narrow.groupBy("sha256").agg(F.min("page_id").alias("first_id"))
+    firsts = narrow.groupBy("sha256").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("many"))
     revisit = (F.col("n") >= least_bytes) & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    told = narrow.join(firsts, "sha256").select("*", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to"))
+    told = skew_join(narrow, firsts, ["sha256"], "many").select("*", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to"))
     length = F.lit(len(HTTP_HEADER)) + F.when(revisit, 0).otherwise(F.col("n"))
     lines = [
         F.concat(F.lit("WARC/1.1\r\nWARC-Type: "), F.col("record_type")),
@@ -97,18 +98,38 @@ def payloads(a: Archive) -> DataFrame:
     return a.headers.join(read_store(a.store), "sha256").select("page_id", "payload")
 
 
-def payload_facts(a: Archive) -> DataFrame:
-    """What the archive says of every record: ids and type from its header lines, length and digest from the stored bytes."""
+def parsed(found: DataFrame) -> DataFrame:
+    """What the bytes of records (record) say: ids and type from the header lines, length and digest from the payload itself."""
+    head = lambda block: F.substring_index(block.cast("string"), "\r\n\r\n", 1)
     line = lambda name, value: F.regexp_extract("header", f"(?m)^{name}: {value}\r?$", 1)
     number = lambda c: F.when(c != "", c).cast("long")
-    measured = read_store(a.store).select("sha256", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
-    said = a.headers.select(
+    rows = found.select(head(F.col("record")).alias("header"), "record")
+    block = F.substring(F.col("record"), F.octet_length("header") + 5, line("Content-Length", "(\\d+)").cast("int"))
+    rows = rows.select("header", block.alias("block"))
+    payload = F.substring(F.col("block"), F.octet_length(head(F.col("block"))) + 5, F.octet_length("block"))
+    said = rows.select(
         number(line("WARC-Record-ID", "<urn:page:(-?\\d*)>")).alias("page_id"),
         line("WARC-Type", "(\\w+)").alias("record_type"),
         number(line("WARC-Refers-To", "<urn:page:(-?\\d*)>")).alias("refers_to"),
-        "sha256",
+        line("WARC-Payload-Digest", "sha1:(\\w+)").alias("said"),
+        payload.alias("payload"),
     )
-    return said.join(measured, "sha256").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return said.select("page_id", "record_type", "refers_to", "said", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
+
+
+def payload_facts(a: Archive) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every rebuilt record; revisits take the first two from their response."""
+    rows = cut(parsed(records(a)), "parsed")
+    wrong = F.raise_error(F.concat(F.lit("a payload does not match its record's digest: page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null"))))
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    responses = rows.where("record_type = 'response'").withColumn("payload_digest", F.when(F.col("said") == F.col("payload_digest"), F.col("payload_digest")).otherwise(wrong))
+    again = rows.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to", "said")
+    # A page_id may have several records; the digest tells which of them is meant.
+    facts = responses.where("page_id IS NOT NULL").groupBy(F.col("page_id").alias("refers_to"), F.col("said")).agg(F.max("payload_bytes").alias("payload_bytes"), F.max("payload_digest").alias("payload_digest"))
+    many = again.groupBy("refers_to", "said").agg(F.count(F.lit(1)).alias("many"))
+    # A revisit whose response is missing would be lost here; its payload is lost, so that is an error.
+    facts = many.join(facts, ["refers_to", "said"], "left").withColumn("payload_bytes", F.when(F.col("payload_bytes").isNull(), F.raise_error(F.lit("a revisit has no response"))).otherwise(F.col("payload_bytes")))
+    return responses.select(columns).unionByName(skew_join(again, facts, ["refers_to", "said"], "many").select(columns))
 
 
 def op3_warc_archive(spark, sf_dir: str) -> DataFrame:
