@@ -10,6 +10,9 @@ come from sums over spans of SPAN turn numbers, then over a dialogue's spans.
 Turns are ordered by turn, then speaker, then text, nulls first. Rows that repeat another are rendered once. A null
 conv_id is a dialogue of its own. A null or blank role is the speaker "unknown"; roles are compared as they are. A null
 text is empty. A dialogue of system turns only has no participants and no rows. Extra columns are ignored.
+
+No text can forge a turn: within texts and names "<|" is rendered as "< |", and line ends in names as spaces, so that
+the markers of a rendered dialogue are those that stand here. content_chars counts the text as rendered.
 """
 
 from __future__ import annotations
@@ -24,15 +27,20 @@ SPAN = 64
 OPEN, MIDDLE, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
 
 
+def unmarked(text: Column) -> Column:
+    return F.replace(text, F.lit("<|"), F.lit("< |"))
+
+
 def rendered_role(speaker: Column, perspective: Column) -> Column:
-    return F.when(speaker == CONTEXT, F.lit("system")).when(speaker == perspective, F.lit("assistant")).otherwise(F.concat(F.lit("user name="), speaker))
+    name = unmarked(F.regexp_replace(speaker, "[\\n\\r\\x0B\\x0C\\x85\\u2028\\u2029]", " "))
+    return F.when(speaker == CONTEXT, F.lit("system")).when(speaker == perspective, F.lit("assistant")).otherwise(F.concat(F.lit("user name="), name))
 
 
 def perspectives(turns: DataFrame) -> DataFrame:
     """conv_id, perspective, seq, turn, speaker, segment, trained, start_char, content_start, content_chars."""
     role = F.trim(F.coalesce(F.col("role").cast("string"), F.lit("")))
     speaker = F.when(role == "", UNKNOWN).otherwise(F.col("role").cast("string"))
-    rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), speaker.alias("speaker"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), speaker.alias("speaker"), unmarked(F.coalesce("text", F.lit(""))).alias("text")).distinct()
     people = rows.where(F.col("speaker") != CONTEXT).select("conv_id", F.col("speaker").alias("perspective")).distinct()
     # Null-safe equality is an ordinary hash join on (is null, value) and can be split when a dialogue is hot.
     people = people.withColumnRenamed("conv_id", "_conv")
@@ -69,12 +77,14 @@ def op7_chat_perspectives(spark, sf_dir: str) -> DataFrame:
     return perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-SQL = """
+SQL = r"""
 WITH t AS (
-  SELECT DISTINCT conv_id, CAST(turn AS BIGINT) AS turn, CASE WHEN trim(coalesce(role, '')) = '' THEN 'unknown' ELSE role END AS speaker, coalesce(text, '') AS text FROM conversations),
+  SELECT DISTINCT conv_id, CAST(turn AS BIGINT) AS turn, CASE WHEN trim(coalesce(role, '')) = '' THEN 'unknown' ELSE role END AS speaker,
+    replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
 p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
 s AS (
-  SELECT t.*, perspective, '<|im_start|>' || CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user name=' || speaker END || chr(10) AS head
+  SELECT t.*, perspective, '<|im_start|>' || CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' 
+      ELSE 'user name=' || replace(regexp_replace(speaker, '[\n\r\x0B\x0C\x{85}\x{2028}\x{2029}]', ' ', 'g'), '<|', '< |') END || chr(10) AS head
   FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
 g AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS segment FROM s),
 w AS (
