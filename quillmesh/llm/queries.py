@@ -8,6 +8,7 @@ from . import bpe, chat, embeddings, lines, minhash, mixing, quality, token_coun
 def queries() -> dict:
     return {
         "op1_subspace_join": embeddings.op1_subspace_join,
+        "embeddings_planted": embeddings.op1_planted,
         "op2_minhash": minhash.op2_minhash,
         "op3_warc_archive": warc.op3_warc_archive,
         "op4_byte_bpe": bpe.op4_byte_bpe,
@@ -24,6 +25,7 @@ def oracle_sql() -> dict[str, str]:
     """Tokenizers and MinHash are beyond SQL; their tests hold them against brute force and the libraries."""
     return {
         "op1_subspace_join": embeddings.SQL,
+        "embeddings_planted": embeddings.PLANTED_SQL,
         "op3_warc_archive": warc.SQL,
         "op5_quality_rules": quality.SQL,
         "op7_chat_perspectives": chat.SQL,
