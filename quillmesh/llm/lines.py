@@ -27,14 +27,20 @@ from .neighbours import linked_components, may_link, shared_buckets
 
 SHINGLE = 9
 PERCENT = 80
-#: Of every shingle's BASES hashes each is compared under several masks: the least of h XOR mask is a minimum of its own.
-MINIMA, BASES = 16, 4
-MASKS = [random.Random(f"mask {k}").randrange(-(1 << 31), 1 << 31) for k in range(MINIMA)]
-#: Bands of three minima of different hashes; no two minima are together in two bands.
+#: The halves of a shingle's hash are each compared under masks: the least of half XOR mask is a minimum of its own, with
+#: few exceptions of the shingle whose half agrees with the mask in the most leading bits.
+MINIMA, HALVES = 16, 2
+_mask = random.Random("masks")
+#: The masks of one half begin with different bits.
+MASKS = [(k // HALVES << 29 | _mask.randrange(1 << 29)) - (1 << 31) for k in range(MINIMA)]
+#: Bands of three minima, not all of one half; no two minima are together in two bands.
 BANDS = (
-    (0, 6, 8), (0, 10, 15), (1, 5, 15), (1, 7, 10), (1, 8, 14), (2, 4, 13),
-    (2, 8, 15), (3, 6, 12), (3, 9, 13), (4, 9, 14), (5, 11, 12), (7, 11, 14),
+    (0, 3, 13), (0, 5, 8), (1, 6, 9), (1, 12, 14), (2, 7, 12), (2, 10, 11),
+    (3, 8, 10), (4, 6, 15), (4, 7, 9), (5, 7, 14), (5, 12, 13), (11, 14, 15),
 )
+#: Lines of so many shingles take part in the minima with those that agree with some mask in as many leading bits: a line
+#: of n shingles has none that agrees with a given mask with probability (1 - 2 ** -bits) ** n, less than 0.007.
+LEADING = ((160, 5), (320, 6))
 #: Words of 64 bits of a set's odd sketch.
 WORDS = 16
 #: Bytes of a character in wide().
@@ -51,11 +57,11 @@ def wide(line: Column) -> Column:
 
 
 def starts(w: Column) -> Column:
-    return F.sequence(F.lit(0), F.greatest(F.shiftright(F.octet_length(w), 2) - SHINGLE, F.lit(0)))
+    return F.sequence(F.lit(1), F.greatest(F.octet_length(w) - (SHINGLE - 1) * WIDE, F.lit(1)), F.lit(WIDE))
 
 
 def shingle(w: Column, at: Column) -> Column:
-    return F.substring(w, at * WIDE + 1, F.lit(SHINGLE * WIDE))
+    return F.substring(w, at, F.lit(SHINGLE * WIDE))
 
 
 def shingle_hashes(line: Column) -> Column:
@@ -68,28 +74,39 @@ def occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("version"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "raw"))
 
 
+def leading_map(half: int, n: Column) -> Column:
+    """64 bits that say which six leading bits of a half can make a minimum of a line of n shingles."""
+
+    def of(bits: int) -> int:
+        starts_ = {((MASKS[k] ^ -(1 << 31)) & 0xFFFFFFFF) >> (32 - bits) for k in range(half, MINIMA, HALVES)}
+        word = sum(1 << i for i in range(64) if i >> (6 - bits) in starts_)
+        return word - (1 << 64) if word >> 63 else word
+
+    few = F.when(n < LEADING[0][0], F.lit(-1).cast("long"))
+    return few.when(n < LEADING[1][0], F.lit(of(LEADING[0][1])).cast("long")).otherwise(F.lit(of(LEADING[1][1])).cast("long"))
+
+
 def sketched(occ: DataFrame) -> DataFrame:
     """(doc, version, line_no, id, twin, m0 ...): every line with a word, with its minima; id and twin are its hashes."""
     key = ["doc", "version", "line_no", "id", "twin"]
     rows = occ.select("doc", "version", "line_no", normal(F.col("raw")).alias("line")).where("line <> ''")
     rows = rows.select("doc", "version", "line_no", F.xxhash64("line").alias("id"), F.xxhash64(F.lit("twin"), "line").alias("twin"), wide(F.col("line")).alias("w"))
-    parts = rows.select(*key, "w", F.explode(starts(F.col("w"))).alias("at")).select(*key, F.hash(shingle(F.col("w"), F.col("at"))).alias("h0"))
-    parts = parts.select("*", *[F.hash("h0", F.lit(g)).alias(f"h{g}") for g in range(1, BASES)])
-    least = [F.min(F.col(f"h{k * BASES // MINIMA}").bitwiseXOR(F.lit(mask))).alias(f"m{k}") for k, mask in enumerate(MASKS)]
+    n = F.shiftright(F.octet_length("w"), 2)
+    rows = rows.select("*", leading_map(0, n).alias("low"), leading_map(1, n).alias("high"))
+    parts = rows.select(*key, "w", "low", "high", F.explode(starts(F.col("w"))).alias("at")).select(*key, "low", "high", F.xxhash64(shingle(F.col("w"), F.col("at"))).alias("h"))
+    parts = parts.where("((shiftrightunsigned(high, cast(shiftrightunsigned(h, 58) as int)) | shiftrightunsigned(low, cast(shiftrightunsigned(h, 26) & 63 as int))) & 1) = 1")
+    parts = parts.select(*key, F.expr("shiftright(shiftleft(h, 32), 32)").alias("h0"), F.expr("shiftright(h, 32)").alias("h1"))
+    least = [F.min(F.col(f"h{k % HALVES}").bitwiseXOR(F.lit(mask).cast("long"))).cast("int").alias(f"m{k}") for k, mask in enumerate(MASKS)]
     return parts.groupBy(*key).agg(*least)
 
 
-def band_keys() -> Column:
-    return F.array(*[F.xxhash64(*[f"m{k}" for k in band], F.lit(b)) for b, band in enumerate(BANDS)])
-
-
 def small_sets(lines: DataFrame) -> DataFrame:
-    """(id, small) of lines (id, line): the number of distinct shingles and their odd sketch."""
+    """(id, n, bits) of lines (id, line): the number of distinct shingles and their odd sketch."""
     parts = lines.select("id", F.explode(shingle_hashes(F.col("line"))).alias("h"))
     word, bit = "(h >> 6) & 15", "shiftleft(1L, cast(h & 63 as int))"
     bits = [F.expr(f"bit_xor(CASE WHEN {word} = {i} THEN {bit} ELSE 0L END)").alias(f"w{i}") for i in range(WORDS)]
     sums = parts.groupBy("id").agg(F.count(F.lit(1)).alias("n"), *bits)
-    return sums.select("id", F.struct("n", F.array(*[f"w{i}" for i in range(WORDS)]).alias("bits")).alias("small"))
+    return sums.select("id", "n", F.array(*[f"w{i}" for i in range(WORDS)]).alias("bits"))
 
 
 def linked_at(percent: int):
@@ -105,19 +122,21 @@ def linked_at(percent: int):
     return linked
 
 
-def linked_lines(places: DataFrame, lines: DataFrame, occ: DataFrame, percent: int) -> DataFrame:
+def linked_lines(places: DataFrame, lines: DataFrame, docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
     """(id, twin, comp) of the lines in components of several lines."""
-    live = shared_buckets(lines.select("id", band_keys().alias("bands")))
+    bands = F.array(*[F.xxhash64(*[f"m{k}" for k in band], F.lit(b)) for b, band in enumerate(BANDS)])
+    live = shared_buckets(lines.select("id", bands.alias("bands")))
     ids = cut(live.select("id").distinct(), "liveids")
     # One place of each of these lines, whose text is then taken from the documents.
-    first = thin(lines.select("id", "first_doc"), F.col("id"), key_filter(ids, F.col("id"))).join(ids, "id")
-    bits = key_filter(ids, F.col("id"))
-    spots = thin(places.select("doc", "version", "line_no", "id", "twin"), F.col("id"), bits).join(first, (places["id"] == first["id"]) & (F.col("doc") == F.col("first_doc"))).drop(first["id"]).drop("first_doc")
-    spots = cut(spots.dropDuplicates(["id"]), "spots")
+    spots = thin(places.select("doc", "version", "line_no", "id", "twin"), F.col("id"), key_filter(ids, F.col("id")))
+    spots = cut(spots.dropDuplicates(["id"]).join(ids, "id"), "spots")
+    # Documents without such lines are left out before they are split.
+    held = flagged(docs, F.col(doc_id).cast("long"), key_filter(spots, F.col("doc")), maybe := own_name(docs, "maybe")).where(f"`{maybe}`")
     at = lambda: F.xxhash64("doc", "version", "line_no")
-    texts = thin(occ, at(), key_filter(spots, at())).join(spots, ["doc", "version", "line_no"])
+    texts = thin(occurrences(held, doc_id, text), at(), key_filter(spots, at())).join(spots, ["doc", "version", "line_no"])
     texts = cut(texts.select("id", "twin", normal(F.col("raw")).alias("line")).dropDuplicates(["id"]), "linetexts")
-    sets = cut(texts.select("id", F.col("line").alias("facts")).join(small_sets(texts), "id"), "linesets")
+    sets = texts.select("id", F.col("line").alias("facts")).join(small_sets(texts), "id")
+    sets = cut(sets.select("id", F.struct("n", "bits").alias("small"), "facts"), "linesets")
     found = cut(linked_components(live, sets, may_link(percent, WORDS), linked_at(percent)), "linecomponents")
     every = found.select(F.col("node").alias("id"), F.col("component_id").alias("comp"))
     every = every.unionAll(found.select(F.col("component_id").alias("id"), F.col("component_id").alias("comp")).distinct())
@@ -127,11 +146,10 @@ def linked_lines(places: DataFrame, lines: DataFrame, occ: DataFrame, percent: i
 
 def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(doc, version, gone): the numbers of the lines that go."""
-    occ = occurrences(docs, doc_id, text)
-    places = cut(sketched(occ), "places")
+    places = cut(sketched(occurrences(docs, doc_id, text)), "places")
     lines = places.groupBy("id", "twin").agg(F.min("doc").alias("first_doc"), F.count(F.lit(1)).alias("n"), *[F.min(f"m{k}").alias(f"m{k}") for k in range(MINIMA)])
     lines = cut(lines, "lines")
-    near = linked_lines(places, lines, occ, percent)
+    near = linked_lines(places, lines, docs, doc_id, text, percent)
 
     # Lines that are repeated or near others, their component, and the smallest of its documents.
     many = lines.select("id", "twin", "first_doc", "n").join(near, ["id", "twin"], "left").where("n > 1 OR comp IS NOT NULL")

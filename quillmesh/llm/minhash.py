@@ -159,8 +159,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = cut(full.groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("many")), "classes")
     firsts = full.join(classes.select("same", F.col("rep").alias("id")), ["same", "id"]).dropDuplicates(["same", "id"])
     live = shared_buckets(firsts.select("id", "bands"))
-    ids = cut(live.select(F.col("id").alias("rep")).distinct(), "liveids")
-    sets = cut(full_sets(docs, cut(classes.join(ids, "rep").select(F.col("rep").alias("id"), "same"), "liveclasses")), "sets")
+    ids = cut(live.select("id").distinct(), "liveids")
+    sets = cut(full_sets(docs, cut(firsts.select("id", "same").join(ids, "id"), "liveclasses")), "sets")
     found = cut(linked_components(live, sets.drop("same"), may_link(percent, SKETCH), linked_at(percent)), "linked")
     # A doc_id with several texts is one document: it links the classes of its texts.
     several = full.groupBy("id").agg(F.min(F.xxhash64("same")).alias("x"), F.max(F.xxhash64("same")).alias("y")).where("x <> y")

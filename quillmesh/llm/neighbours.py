@@ -1,10 +1,10 @@
 """From buckets of possibly similar rows to the links that join their components, with exact checks.
 
 A bucket's rows are not paired with each other. First each is paired with one leader of the bucket, the row that shares
-most buckets with others (of a text and its variants, the text); what a bucket's largest component leaves gets a leader
-of its own in a second round. Buckets that then still hold rows of two components are joined with themselves. That join
-carries a few words a row, not the sets: the size of the row's set and an odd sketch of it (bit i is the parity of the
-elements that hash to i). The sketches of two sets differ in no more bits than the sets in elements, so a pair is
+most buckets with others (of a text and its variants, the text); then what a bucket's largest component leaves is paired with
+other rows of that component, one a turn, as long as that finds links. Buckets that then still hold rows of two components
+are joined with themselves. That join carries a few words a row, not the sets: the size of its set and an odd
+sketch of it (bit i is the parity of the elements that hash to i). The sketches of two sets differ in no more bits than the sets in elements, so a pair is
 dropped only if it cannot be linked. What is left is checked on the full sets, once for each pair. No link between
 components is lost, and pairs within a component are never made.
 
@@ -26,7 +26,8 @@ from .components import components
 Linked = Callable[[Column, Column], Column]
 #: Rows of a tile of a bucket's smaller side; those of the other side have eight times as many.
 DEALT = 4096
-ROUNDS = 2
+#: Turns of leaders at most, and how many rows of mixed buckets a link found may stand for to be worth another turn.
+ROUNDS, WORTH = 6, 50
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def shared_buckets(members: DataFrame) -> DataFrame:
 
 
 def may_link(percent: int, words: int) -> Linked:
-    """Whether two (n, bits) can belong to sets of a Jaccard similarity of percent: never wrong for those that do."""
+    """Whether two `small`, structs of n and bits, can belong to sets of a Jaccard similarity of percent: never wrong for those that do."""
 
     def may(x: Column, y: Column) -> Column:
         differ = reduce(lambda p, q: p + q, [F.bit_count(F.get(x["bits"], F.lit(i)).bitwiseXOR(F.get(y["bits"], F.lit(i)))) for i in range(words)])
@@ -49,11 +50,18 @@ def may_link(percent: int, words: int) -> Linked:
     return may
 
 
-def leaders_of(rows: DataFrame) -> DataFrame:
-    """(a, b), a < b, distinct, of rows (id, band) and their band's leader: the row that is in most of the bands."""
+def leaders_of(rows: DataFrame, turn: int) -> DataFrame:
+    """(a, b), a < b, distinct, of rows (id, band, comp, main) and their band's leader.
+
+    In the first turn it is the row that is in most of the bands, later the one of the largest component that a hash
+    deals to that turn. Rows of one component are not paired.
+    """
     score = rows.groupBy("id").agg(F.count(F.lit(1)).alias("score"))
-    best = rows.join(score, "id").groupBy("band").agg(F.max(F.struct("score", (-F.col("id")).alias("i"))).alias("best"), F.count(F.lit(1)).alias("many"))
-    both = skew_join(rows, best.select("band", (-F.col("best.i")).alias("leader"), "many"), ["band"], "many").where("id <> leader")
+    best = F.struct("score", (-F.col("id")).alias("i")) if turn == 0 else F.struct((F.col("comp") == F.col("main")).cast("int").alias("score"), F.xxhash64("id", F.lit(turn)).alias("h"), (-F.col("id")).alias("i"))
+    held = rows.join(score, "id") if turn == 0 else rows
+    best = held.groupBy("band").agg(F.max(F.struct(best.alias("best"), F.col("comp").alias("comp"))).alias("best"), F.count(F.lit(1)).alias("many"))
+    best = best.select("band", (-F.col("best.best.i")).alias("leader"), F.col("best.comp").alias("of"), "many")
+    both = skew_join(rows, best, ["band"], "many").where("id <> leader AND comp <> of")
     return both.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
 
 
@@ -87,7 +95,7 @@ def mixed_buckets(live: DataFrame, found: DataFrame) -> DataFrame:
     mixed = parts.agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("many")).where("k > 1")
     # In a bucket of its own main component's rows only the others look for links.
     mixed = mixed.select("band", F.col("main.comp").alias("main"), tiles(F.col("many") - F.col("main.n"), DEALT).alias("x_tiles"), tiles(F.col("many"), 8 * DEALT).alias("y_tiles"), "many")
-    return skew_join(rows, mixed, ["band"], "many")
+    return skew_join(rows, mixed, ["band"], "many").drop("many")
 
 
 def linked_components(live: DataFrame, sets: DataFrame, may: Linked, linked: Linked) -> DataFrame:
@@ -96,27 +104,34 @@ def linked_components(live: DataFrame, sets: DataFrame, may: Linked, linked: Lin
     live: shared_buckets()' rows. sets: (id, small, facts) of the same ids; an id may have several. may and linked: say of
     two `small` whether their rows can be linked, and of two `facts` whether they are.
     """
-    found, rows = None, live
-    for _ in range(ROUNDS):
-        links = cut(checked(leaders_of(rows), sets, may, linked), "links")
+    found, rows = None, live.select("id", "band", F.col("id").alias("comp"), F.lit(None).cast("long").alias("main"))
+    for turn in range(ROUNDS):
+        links = cut(checked(leaders_of(rows, turn), sets, may, linked), "links")
+        news = links.count()
         if found is not None:
-            comp = found.select(F.col("node"), "component_id")
             for end in "ab":
-                links = links.join(comp.select(F.col("node").alias(end), F.col("component_id").alias(f"c{end}")), end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
+                comp = found.select(F.col("node").alias(end), F.col("component_id").alias(f"c{end}"))
+                links = links.join(comp, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
             links = links.select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         found = cut(merged(found, links), "components")
-        mixed = cut(mixed_buckets(live, found), "mixed")
-        rows = mixed.where("comp <> main").select("id", "band")
-    left = mixed.join(sets.select("id", "small"), "id")
+        rows = mixed = cut(mixed_buckets(live, found), "mixed")
+        if turn and news * WORTH < mixed.count():
+            break
+    # A row's mixed bands, as many as it has bands at most, ride along: a pair is taken in the first that both have.
+    at = F.struct("band", "main", "x_tiles", "y_tiles")
+    left = mixed.groupBy("id", "comp").agg(F.collect_list(at).alias("at")).join(sets.select("id", "small"), "id")
+    left = left.select("id", "comp", "small", F.transform("at", lambda s: s["band"]).alias("bands"), F.explode("at").alias("s")).select("id", "comp", "small", "bands", "s.*")
     own = lambda n, of: F.pmod(F.xxhash64("id", F.lit("deal")), F.col(n)).cast("int").alias(of)
     each = lambda n, of: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(of)
-    x = left.where("comp <> main").select("band", own("x_tiles", "i"), each("y_tiles", "j"), F.col("id").alias("id_x"), F.col("comp").alias("comp_x"), F.col("small").alias("small_x"))
-    y = left.select("band", each("x_tiles", "i"), own("y_tiles", "j"), F.col("id").alias("id_y"), F.col("comp").alias("comp_y"), "main", F.col("small").alias("small_y"))
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("id", "comp", "small", "bands")]
+    x = left.where("comp <> main").select("band", own("x_tiles", "i"), each("y_tiles", "j"), *side("x"))
+    y = left.select("band", each("x_tiles", "i"), own("y_tiles", "j"), "main", *side("y"))
     # Two rows outside the largest component meet in both directions: one is enough. The right side, which the join holds, is the smaller one.
     once = (F.col("comp_y") == F.col("main")) | (F.col("id_x") < F.col("id_y"))
-    near = y.join(x, ["band", "i", "j"]).where((F.col("comp_x") != F.col("comp_y")) & once & may(F.col("small_x"), F.col("small_y")))
+    here = F.get(F.filter("bands_x", lambda b: F.array_contains("bands_y", b)), F.lit(0)) == F.col("band")
+    near = y.join(x, ["band", "i", "j"]).where((F.col("comp_x") != F.col("comp_y")) & once & may(F.col("small_x"), F.col("small_y")) & here)
     comp = F.when(F.col("id_x") < F.col("id_y"), F.struct(F.col("id_x").alias("a"), F.col("id_y").alias("b"), F.col("comp_x").alias("ca"), F.col("comp_y").alias("cb")))
-    near = near.select(comp.otherwise(F.struct(F.col("id_y").alias("a"), F.col("id_x").alias("b"), F.col("comp_y").alias("ca"), F.col("comp_x").alias("cb"))).alias("p")).select("p.*").distinct()
-    near = cut(near, "near")
+    near = near.select(comp.otherwise(F.struct(F.col("id_y").alias("a"), F.col("id_x").alias("b"), F.col("comp_y").alias("ca"), F.col("comp_x").alias("cb"))).alias("p")).select("p.*")
+    near = cut(near.distinct(), "near")
     links = checked(near.select("a", "b"), sets, may, linked).join(near, ["a", "b"])
     return merged(found, links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
