@@ -30,3 +30,24 @@ def test_stages(spark, tmp_path):
     ran = pipeline.run(spark, str(tmp_path))
     assert sorted(r["doc_id"] for r in ran.collect()) == seen[4]
     assert pipeline.ORACLE_SQL is None
+
+
+def test_columns_of_the_input_stay_as_they_are(spark, tmp_path):
+    line = "the river of the stone and the end of the road that was not in the book, nor at the sea"
+    texts = [None, "", f"{line}\nthe first of all", f"{line}\nthe second of all of them, and then the one that is last", "the word " + " ".join(f"w{i} of" for i in range(30_000))]
+    made = ["n_words", "word_chars", "kept", "base_failed", "n_lines", "n_removed", "all_lines", "size", "source_size", "target", "copies", "tie", "doc", "version", "gone", "id", "same"]
+    rows = [(i, t, None, None if i % 2 else "s", *[-7 - i] * len(made)) for i, t in enumerate(texts)] + [(3, texts[3], None, "s", *[-10] * len(made)), (None, texts[2], None, "s", *[-50] * len(made))]
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` int" for c in made)
+    docs = spark.createDataFrame(rows, schema)
+    for empty in (False, True):
+        now = docs.limit(0) if empty else docs
+        for k, (name, stage) in enumerate(pipeline.STAGES[:-1]):
+            out = stage(spark, now, str(tmp_path))
+            assert out.columns == docs.columns
+            out.write.parquet(path := f"{tmp_path}/{empty}{k}")
+            now = spark.read.parquet(path)
+            got = now.collect()
+            assert bool(got) != empty, name
+            for r in got:
+                want = {-50} if r["doc_id"] is None else {-7 - r["doc_id"]}
+                assert {r[c] for c in made} == want, name
