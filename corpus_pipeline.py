@@ -9,17 +9,30 @@ from quillmesh.llm import bpe, lines, minhash, mixing, quality
 from quillmesh.llm.common import WORD, cut
 
 
+#: Columns of documents that stages read or rewrite.
+READ = ("doc_id", "text", "source", "n_chars")
+
+
+def apart(docs: DataFrame, work) -> DataFrame:
+    """docs.columns of work(docs), with names of its own for all columns that no stage reads: what an operator adds never hides one."""
+    held = {c: f"_held_{i}" for i, c in enumerate(docs.columns) if c not in READ}
+    out = work(docs.withColumnsRenamed(held))
+    return out.select(*[F.col(held.get(c, c)).alias(c) for c in docs.columns])
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    return quality.judged(docs).where("kept").select(*docs.columns)
+    return apart(docs, lambda rows: quality.judged(rows).where("kept"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with one line of each group of near-equal lines; those of which no word is left go."""
-    left = lines.without_lines(docs).where(F.col("text").rlike(WORD) | (F.col("n_removed") == 0))
-    if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return left.select(*docs.columns)
+
+    def work(rows: DataFrame) -> DataFrame:
+        left = lines.without_lines(rows, added=("all_lines", "removed_lines")).where(F.col("text").rlike(WORD) | (F.col("removed_lines") == 0))
+        return left.withColumn("n_chars", F.length("text").cast(rows.schema["n_chars"].dataType)) if "n_chars" in rows.columns else left
+
+    return apart(docs, work)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +42,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    return mixing.emit(mixing.mix(docs), docs.columns)
+    return apart(docs, lambda rows: mixing.emit(mixing.mix(rows), rows.columns))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,6 +51,11 @@ def content_words(text: Column) -> Column:
     return F.filter(tokens(text), lambda w: (F.length(w) > 1) & ~w.isin(STOP_WORDS))
 
 
+def counts(words: Column) -> Column:
+    """A term map of a short list of words."""
+    return F.map_from_entries(F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("t"), F.size(F.filter(words, lambda x: x == w)).alias("n"))))
+
+
 @F.arrow_udf(T.MapType(T.StringType(), T.IntegerType()))
 def _stemmed_counts(lists: pa.Array) -> pa.Array:
     maps = [list(Counter(map(stem, ws or ())).items()) for ws in lists.to_pylist()]

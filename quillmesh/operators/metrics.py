@@ -37,55 +37,81 @@ def f1(p: Column, r: Column) -> Column:
     return F.when(p + r == 0, F.lit(0.0)).otherwise(2 * p * r / (p + r))
 
 
-def pair_counts(pairs: DataFrame) -> DataFrame:
-    """One row: tp, predicted, true pairs, over all records whatever their block."""
-    n = F.col("n")
-    counted = cells(pairs)
-    tp = counted.agg(F.sum(choose2(n)).alias("tp"))
-    predicted = counted.groupBy("cluster").agg(F.sum("n").alias("n")).agg(F.sum(choose2(n)).alias("predicted"))
-    true = counted.groupBy("label").agg(F.sum("n").alias("n")).agg(F.sum(choose2(n)).alias("true"))
-    return tp.join(predicted).join(true)
+def sized(counted: DataFrame, *keys: str) -> DataFrame:
+    """(keys, gl, s, q): of every label (gl 0) and every cluster (gl 1) the sum of its cells' n and of their squares."""
+    sets = [[*keys, "label"], [*keys, "cluster"]]
+    tag = F.grouping("label").alias("gl")
+    return counted.groupingSets(sets, *keys, "label", "cluster").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"), tag, F.max("label").isNotNull().alias("named_label"), F.max("cluster").isNotNull().alias("named_cluster"))
+
+
+def overall(counted: DataFrame) -> DataFrame:
+    """One row of all sums that the global figures need, of cells within blocks.
+
+    The pairs within cells are (sum of squares - records) / 2, so one pass over labels and clusters gives everything.
+    """
+    groups = sized(counted.groupBy("label", "cluster").agg(F.sum("n").alias("n")))
+    of = lambda gl, v: F.coalesce(F.sum(F.when(F.col("gl") == gl, v)), F.lit(0).cast("long"))
+    share = lambda gl: F.sum(F.when(F.col("gl") == gl, F.col("q") / F.col("s")))
+    return groups.agg(
+        of(1, F.col("s")).alias("records"),
+        of(0, F.when(F.col("named_label"), 1).otherwise(0).cast("long")).alias("true_authors"),
+        of(1, F.when(F.col("named_cluster"), 1).otherwise(0).cast("long")).alias("predicted_clusters"),
+        F.call_function("div", of(1, F.col("q")) - of(1, F.col("s")), F.lit(2)).alias("tp"),
+        of(1, choose2(F.col("s"))).alias("predicted"),
+        of(0, choose2(F.col("s"))).alias("true"),
+        share(1).alias("b3p"),
+        share(0).alias("b3r"),
+    )
+
+
+def rates(sums: DataFrame, *keep: str) -> DataFrame:
+    """Pairwise and B-cubed figures of overall()'s row; nothing predicted is precision 1, nothing true recall 1."""
+    p, r, some = ratio(F.col("tp"), F.col("predicted"), 1.0), ratio(F.col("tp"), F.col("true"), 1.0), F.expr("nullif(records, 0)")
+    parts = sums.select(*keep, p.alias("p"), r.alias("r"), (F.col("b3p") / some).alias("b3_precision"), (F.col("b3r") / some).alias("b3_recall"))
+    return parts.select(
+        *keep,
+        F.col("p").alias("pairwise_precision"),
+        F.col("r").alias("pairwise_recall"),
+        f1(F.col("p"), F.col("r")).alias("pairwise_f1"),
+        "b3_precision",
+        "b3_recall",
+        f1(F.col("b3_precision"), F.col("b3_recall")).alias("b3_f1"),
+    )
 
 
 def pairwise(pairs: DataFrame) -> DataFrame:
-    """pairwise_precision, pairwise_recall, pairwise_f1; nothing predicted is precision 1, nothing true recall 1."""
-    c = pair_counts(pairs).na.fill(0)
-    rates = c.select(ratio(F.col("tp"), F.col("predicted"), 1.0).alias("p"), ratio(F.col("tp"), F.col("true"), 1.0).alias("r"))
-    return rates.select(F.col("p").alias("pairwise_precision"), F.col("r").alias("pairwise_recall"), f1(F.col("p"), F.col("r")).alias("pairwise_f1"))
+    """pairwise_precision, pairwise_recall, pairwise_f1 over all records, whatever their block."""
+    return rates(overall(cells(pairs))).select("pairwise_precision", "pairwise_recall", "pairwise_f1")
 
 
 def bcubed(pairs: DataFrame) -> DataFrame:
     """b3_precision, b3_recall, b3_f1 over all records."""
-    sized = contingency(pairs)
-    square = F.col("n") * F.col("n")
-    sums = sized.agg(F.sum(square / F.col("cluster_size")).alias("p"), F.sum(square / F.col("label_size")).alias("r"), F.sum("n").alias("all"))
-    rates = sums.select((F.col("p") / F.col("all")).alias("p"), (F.col("r") / F.col("all")).alias("r"))
-    return rates.select(F.col("p").alias("b3_precision"), F.col("r").alias("b3_recall"), f1(F.col("p"), F.col("r")).alias("b3_f1"))
+    return rates(overall(cells(pairs))).select("b3_precision", "b3_recall", "b3_f1")
 
 
-def purity_by_block(pairs: DataFrame) -> DataFrame:
-    """block, acp, aap, k."""
-    sized = with_sizes(cells(pairs, "block"), "block")
-    square = F.col("n") * F.col("n")
-    each = sized.groupBy("block").agg((F.sum(square / F.col("cluster_size")) / F.sum("n")).alias("acp"), (F.sum(square / F.col("label_size")) / F.sum("n")).alias("aap"))
+def purity_of(counted: DataFrame) -> DataFrame:
+    """block, acp, aap, k of cells within blocks."""
+    of = lambda gl: F.sum(F.when(F.col("gl") == gl, F.col("q") / F.col("s"))) / F.sum(F.when(F.col("gl") == gl, F.col("s")))
+    each = sized(counted, "block").groupBy("block").agg(of(1).alias("acp"), of(0).alias("aap"))
     return each.withColumn("k", F.sqrt(F.col("acp") * F.col("aap")))
 
 
-def purity(pairs: DataFrame) -> DataFrame:
-    """Means over blocks: average_cluster_purity, average_author_purity, k_metric."""
-    return purity_by_block(pairs).agg(F.avg("acp").alias("average_cluster_purity"), F.avg("aap").alias("average_author_purity"), F.avg("k").alias("k_metric"))
+def purity_by_block(pairs: DataFrame) -> DataFrame:
+    return purity_of(cells(pairs, "block"))
 
 
-def counts(pairs: DataFrame) -> DataFrame:
-    return pairs.agg(F.count(F.lit(1)).alias("records"), F.countDistinct("label").alias("true_authors"), F.countDistinct("cluster").alias("predicted_clusters"))
+def purity_means(blocks: DataFrame) -> DataFrame:
+    return blocks.agg(F.avg("acp").alias("average_cluster_purity"), F.avg("aap").alias("average_author_purity"), F.avg("k").alias("k_metric"))
 
 
 def evaluate(pairs: DataFrame) -> DataFrame:
-    """All twelve figures in one row, of pairs (block, label, cluster). No records, no row."""
-    out = counts(pairs).where("records > 0")
-    for part in (pairwise, bcubed, purity):
-        out = out.join(part(pairs))
-    return out
+    """All twelve figures in one row, of pairs (block, label, cluster). No records, no row.
+
+    Both halves start from the same cells, whose shuffle Spark runs once: the records are looked at one time.
+    """
+    counted = cells(pairs, "block")
+    facts = ["records", "true_authors", "predicted_clusters"]
+    return rates(overall(counted).where("records > 0"), *facts).join(purity_means(purity_of(counted)))
 
 
 def confusion_by_block(pairs: DataFrame) -> DataFrame:
@@ -163,12 +189,12 @@ def judged_counts(decisions: DataFrame, threshold: float) -> DataFrame:
 
 
 def confidence_bins(decisions: DataFrame) -> DataFrame:
-    """Ten bins of p: lower, upper, count, mean_probability, observed_rate; an empty bin has nulls."""
+    """Ten bins of p: lower, upper, count, mean_probability, observed_same_author_rate; an empty bin has nulls."""
     rows = decisions.where("valid AND label IS NOT NULL AND same_author IS NOT NULL")
     found = rows.groupBy(F.least(F.lit(9), F.floor(F.col("p") * 10)).cast("int").alias("bin")).agg(
-        F.count(F.lit(1)).alias("_n"), F.avg("p").alias("mean_probability"), F.avg(F.col("label").cast("double")).alias("observed_rate")
+        F.count(F.lit(1)).alias("_n"), F.avg("p").alias("mean_probability"), F.avg(F.col("label").cast("double")).alias("observed_same_author_rate")
     )
     bins = decisions.sparkSession.range(10).select(F.col("id").cast("int").alias("bin"))
     return bins.join(F.broadcast(found), "bin", "left").select(
-        (F.col("bin") / 10).alias("lower"), ((F.col("bin") + 1) / 10).alias("upper"), F.coalesce("_n", F.lit(0)).alias("count"), "mean_probability", "observed_rate"
+        (F.col("bin") / 10).alias("lower"), ((F.col("bin") + 1) / 10).alias("upper"), F.coalesce("_n", F.lit(0)).alias("count"), "mean_probability", "observed_same_author_rate"
     )

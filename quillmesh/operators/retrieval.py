@@ -30,14 +30,14 @@ def centroid_scores(clusters: DataFrame) -> DataFrame:
     """block, i < j, score of clusters (block, cluster, centroid)."""
     lengths = clusters.withColumn("unit", F.when(vectors.norm(F.col("centroid")) == 0, F.col("centroid")).otherwise(vectors.unit(F.col("centroid"))))
     left, right = _sides(lengths, "unit")
-    return left.join(right, "block").where("i < j").select("block", "i", "j", vectors.dot(F.col("unit_i"), F.col("unit_j")).alias("score"))
+    return left.join(right, "block").where("i < j").select("block", "i", "j", F.round(vectors.dot(F.col("unit_i"), F.col("unit_j")), 12).alias("score"))
 
 
 def hybrid_scores(clusters: DataFrame, members: DataFrame) -> DataFrame:
     """The larger of the centroids' cosine and of the best pair of members."""
     left, right = _sides(members, "embedding")
     best = left.join(right, "block").where("i < j").groupBy("block", "i", "j").agg(F.max(vectors.cosine(F.col("embedding_i"), F.col("embedding_j"))).alias("best"))
-    return centroid_scores(clusters).join(best, ["block", "i", "j"]).select("block", "i", "j", F.greatest("score", "best").alias("score"))
+    return centroid_scores(clusters).join(best, ["block", "i", "j"]).select("block", "i", "j", F.round(F.greatest("score", "best"), 12).alias("score"))
 
 
 def name_sets(members: DataFrame) -> DataFrame:

@@ -89,7 +89,43 @@ def oracle_sql() -> dict[str, str]:
         "focal_exclusion": f"WITH {BIB} SELECT rid, array_to_string(coauthors, '|') AS others, CAST(len(coauthors) AS INT) AS n_others FROM bib",
         "doc_normalize": "SELECT doc_id, md5(lower(strip_accents(text))) AS folded_md5 FROM documents",
         "doc_terms": f"WITH t AS (SELECT doc_id, unnest({_WORDS.format('text')}) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL) SELECT doc_id, count(*) AS n_terms, CAST(sum(tf) AS BIGINT) AS n_words, CAST(sum(tf * tf) AS BIGINT) AS square, list(term ORDER BY tf DESC, term DESC)[1] AS top_term FROM c GROUP BY doc_id",
-        "term_cosine": f"WITH {BIB}, w AS (SELECT ambiguous_name, rid, unnest({_WORDS.format('title')}) AS term FROM bib), tf AS (SELECT ambiguous_name, rid, term, count(*) AS tf FROM w GROUP BY ALL), f AS (SELECT ambiguous_name, min(rid) AS rid FROM bib GROUP BY ALL), z AS (SELECT ambiguous_name, rid, sum(tf * tf) AS sq FROM tf GROUP BY ALL) SELECT a.rid, round(sum(a.tf * b.tf) / sqrt(any_value(za.sq) * any_value(zb.sq)), 6) AS cosine FROM tf a JOIN f ON a.ambiguous_name = f.ambiguous_name JOIN tf b ON b.rid = f.rid AND a.term = b.term JOIN z za ON za.rid = a.rid JOIN z zb ON zb.rid = f.rid GROUP BY a.rid",
+        "term_cosine": f"""
+WITH {BIB}, w AS (SELECT ambiguous_name, rid, unnest({_WORDS.format("title")}) AS term FROM bib),
+tf AS (SELECT ambiguous_name, rid, term, count(*) AS tf FROM w GROUP BY ALL),
+f AS (SELECT ambiguous_name, min(rid) AS first FROM bib GROUP BY ALL),
+z AS (SELECT rid, sum(tf * tf) AS sq FROM tf GROUP BY ALL),
+d AS (SELECT a.rid, sum(a.tf * b.tf) AS dot FROM tf a JOIN f ON a.ambiguous_name = f.ambiguous_name JOIN tf b ON b.rid = f.first AND a.term = b.term GROUP BY a.rid)
+SELECT bib.rid, round(coalesce(d.dot / sqrt(za.sq * zb.sq), 0.0), 6) AS cosine
+FROM bib JOIN f ON bib.ambiguous_name = f.ambiguous_name LEFT JOIN d ON d.rid = bib.rid LEFT JOIN z za ON za.rid = bib.rid LEFT JOIN z zb ON zb.rid = f.first""",
+        # The fold, one record of every block at a time: first names of clusters, and the keys that they hold.
+        "first_step": f"""
+WITH RECURSIVE {BIB},
+n AS (SELECT DISTINCT ambiguous_name, author_name FROM bib),
+cand AS (SELECT x.ambiguous_name, x.author_name AS a, y.author_name AS b, {TOKENS.format("x.author_name")} AS ta, {TOKENS.format("y.author_name")} AS tb FROM n x JOIN n y ON x.ambiguous_name = y.ambiguous_name),
+{_SIMILAR},
+allowed AS (SELECT cand.ambiguous_name, cand.a, list(DISTINCT cand.b) AS fits FROM cand JOIN verdict ON cand.a = verdict.a AND cand.b = verdict.b WHERE ok GROUP BY ALL),
+s AS (SELECT rid, regexp_extract_all(lower(unnest(coauthors)), '[a-z0-9]+') AS ts FROM bib),
+keyed AS (SELECT rid, list(DISTINCT key) AS keys FROM (SELECT rid, unnest({_KEYS.format("ts")}) AS key FROM s) GROUP BY rid),
+recs AS (
+  SELECT bib.rid, bib.ambiguous_name, author_name, coalesce(keys, []) AS keys, coalesce(fits, []) AS fits,
+    row_number() OVER (PARTITION BY bib.ambiguous_name ORDER BY len(list_filter({own}, lambda t: length(t) > 1)) > 1 DESC, bib.rid) AS place
+  FROM bib LEFT JOIN keyed ON bib.rid = keyed.rid LEFT JOIN allowed ON allowed.ambiguous_name = bib.ambiguous_name AND allowed.a = author_name),
+fold AS (
+  SELECT ambiguous_name, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS rid, CAST(0 AS BIGINT) AS cluster_no, CAST([] AS VARCHAR[]) AS firsts, CAST([] AS VARCHAR[][]) AS held FROM (SELECT DISTINCT ambiguous_name FROM recs)
+  UNION ALL
+  SELECT ambiguous_name, k + 1, new_rid, coalesce(hit, len(firsts) + 1),
+    CASE WHEN hit IS NULL THEN list_append(firsts, author_name) ELSE firsts END,
+    CASE WHEN hit IS NULL THEN list_append(held, keys) ELSE list_transform(held, lambda h, i: CASE WHEN i = hit THEN list_concat(h, keys) ELSE h END) END
+  FROM (
+    SELECT f.ambiguous_name, f.k, f.firsts, f.held, r.rid AS new_rid, r.author_name, r.keys,
+      list_min(list_filter(list_transform(f.firsts, lambda b, i: CASE WHEN list_contains(r.fits, b) AND list_has_any(f.held[i], r.keys) THEN i END), lambda i: i IS NOT NULL)) AS hit
+    FROM fold f JOIN recs r ON r.ambiguous_name = f.ambiguous_name AND r.place = f.k + 1))
+SELECT rid AS row_index, ambiguous_name, CAST(cluster_no AS INT) AS cluster_no, printf('%s::%04d', ambiguous_name, cluster_no) AS predicted_cluster FROM fold WHERE rid IS NOT NULL""",
+        "embedding_fingerprint": f"""
+WITH {BIB}, d AS (SELECT rid, sha256(paper_id || chr(0) || 'Title: ' || trim(title) || CASE WHEN trim(venue) = '' THEN '' ELSE chr(10) || 'Venue: ' || trim(venue) END || chr(0)) AS digest FROM bib),
+s AS (SELECT rid // 4096 AS span, sha256(string_agg(digest, '' ORDER BY rid)) AS digest FROM d GROUP BY ALL),
+w AS (SELECT span // 4096 AS wide, sha256(string_agg(digest, '' ORDER BY span)) AS digest FROM s GROUP BY ALL)
+SELECT sha256('hashing-64' || chr(0) || '256' || chr(0) || string_agg(digest, chr(0) ORDER BY wide)) AS fingerprint FROM w""",
         "document_text": f"WITH {BIB} SELECT rid, 'Title: ' || trim(title) || CASE WHEN trim(venue) = '' THEN '' ELSE chr(10) || 'Venue: ' || trim(venue) END AS text FROM bib",
         "fingerprint": f"WITH {BIB} SELECT rid AS row_index, sha256(paper_id || chr(0) || 'Title: ' || trim(title) || CASE WHEN trim(venue) = '' THEN '' ELSE chr(10) || 'Venue: ' || trim(venue) END || chr(0)) AS digest FROM bib",
         "parse_decision": """
@@ -112,11 +148,11 @@ SELECT conv_id, turn, k = 0 OR k > 8 AS valid, CASE WHEN k = 0 OR k > 8 THEN n >
     sql |= {
         "method_deltas": f"WITH s AS ({' UNION ALL '.join(parts)}), b AS (SELECT * FROM s WHERE method = 'base') SELECT s.method, round(s.pairwise_f1, 6) AS pairwise_f1, round(s.b3_f1, 6) AS b3_f1, s.predicted_clusters, round((s.pairwise_f1 - b.pairwise_f1) * 100, 6) AS pairwise_f1_points, round((s.b3_f1 - b.b3_f1) * 100, 6) AS b3_f1_points, s.predicted_clusters - b.predicted_clusters AS clusters_delta FROM s, b",
         "brier": f"WITH {JUDGED} SELECT count(*) AS comparisons, count(*) FILTER (WHERE acc AND label) AS tp, count(*) FILTER (WHERE acc AND NOT label) AS fp, count(*) FILTER (WHERE NOT acc AND label) AS fn, count(*) FILTER (WHERE NOT acc AND NOT label) AS tn, round(avg((p - label::INT) * (p - label::INT)), 6) AS brier_score, round(count(*) FILTER (WHERE acc AND label) / count(*) FILTER (WHERE label), 6) AS recall FROM k",
-        "bins": f"WITH {JUDGED}, g AS (SELECT least(9, CAST(floor(p * 10) AS INT)) AS b, count(*) AS n, avg(p) AS m, avg(label::INT) AS o FROM k GROUP BY 1) SELECT round(i / 10.0::DOUBLE, 6) AS lower, round((i + 1) / 10.0::DOUBLE, 6) AS upper, coalesce(n, 0) AS count, round(m, 6) AS mean_probability, round(o, 6) AS observed_rate FROM (SELECT unnest(range(10)) AS i) LEFT JOIN g ON i = b",
+        "bins": f"WITH {JUDGED}, g AS (SELECT least(9, CAST(floor(p * 10) AS INT)) AS b, count(*) AS n, avg(p) AS m, avg(label::INT) AS o FROM k GROUP BY 1) SELECT round(i / 10.0::DOUBLE, 6) AS lower, round((i + 1) / 10.0::DOUBLE, 6) AS upper, coalesce(n, 0) AS count, round(m, 6) AS mean_probability, round(o, 6) AS observed_same_author_rate FROM (SELECT unnest(range(10)) AS i) LEFT JOIN g ON i = b",
         "align": """
 WITH i AS (SELECT CAST(l_partkey AS VARCHAR) AS paper_id, l_returnflag AS ambiguous_name, CAST(l_suppkey AS VARCHAR) AS label, l_orderkey * 8 + l_linenumber AS pos, l_orderkey, l_shipdate FROM lineitem),
 f AS (SELECT *, row_number() OVER (PARTITION BY paper_id, ambiguous_name, label ORDER BY pos) - 1 AS occurrence FROM i),
-c AS (SELECT *, row_number() OVER (PARTITION BY paper_id, ambiguous_name, label ORDER BY pos) - 1 AS occurrence FROM i WHERE l_orderkey % 5 = 0)
+c AS (SELECT *, row_number() OVER (PARTITION BY paper_id, ambiguous_name, label ORDER BY pos) - 1 AS occurrence FROM i)
 SELECT c.paper_id, c.ambiguous_name, c.label, CAST(c.occurrence AS INT) AS occurrence, CAST(c.l_orderkey % 10 AS VARCHAR) AS cluster_c, CAST(f.l_orderkey AS VARCHAR) AS cluster_a, strftime(f.l_shipdate, '%Y-%m') AS cluster_b
 FROM c JOIN f ON c.paper_id = f.paper_id AND c.ambiguous_name = f.ambiguous_name AND c.label = f.label AND c.occurrence = f.occurrence""",
         "occurrence": "SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag, CAST(row_number() OVER (PARTITION BY l_partkey, l_returnflag ORDER BY l_orderkey * 8 + l_linenumber) - 1 AS INT) AS occurrence FROM lineitem",
@@ -132,7 +168,7 @@ SELECT paper_id, ambiguous_name, label, CAST(occurrence AS INT) AS occurrence, r
         "pair_sample": f"WITH {PRED}, t AS (SELECT CASE WHEN a.label = b.label AND a.cluster = b.cluster THEN 'TP' WHEN a.label = b.label THEN 'FN' WHEN a.cluster = b.cluster THEN 'FP' ELSE 'TN' END AS outcome, a.rid AS left_id, b.rid AS right_id FROM pairs a JOIN pairs b ON a.block = b.block AND a.rid < b.rid), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY outcome ORDER BY md5('42:' || left_id || ':' || right_id), left_id, right_id) AS INT) AS place FROM t) SELECT * FROM r WHERE place <= 5",
         "shared_coauthors": f"WITH {BIB}, s AS (SELECT ambiguous_name, rid, regexp_extract_all(lower(unnest(coauthors)), '[a-z0-9]+') AS ts FROM bib), k AS (SELECT DISTINCT ambiguous_name, rid, unnest({_KEYS.format('ts')}) AS key FROM s) SELECT x.ambiguous_name, x.rid AS a, y.rid AS b, count(*) AS shared FROM k x JOIN k y ON x.ambiguous_name = y.ambiguous_name AND x.key = y.key AND x.rid < y.rid GROUP BY ALL",
         "cache_lookup": "WITH d AS (SELECT doc_id, sha256(text) AS key FROM documents), s AS (SELECT key, min(doc_id) AS value FROM d WHERE doc_id % 3 = 0 GROUP BY key) SELECT doc_id, value IS NOT NULL AS hit, value FROM d LEFT JOIN s ON d.key = s.key",
-        "centroids": f"WITH {VEC} SELECT block, cluster, size, round(sqrt(list_sum(list_transform(c, lambda x: x * x))), 6) AS norm, round(c[1], 6) AS first FROM cent",
+        "centroids": f"WITH {VEC} SELECT block, cluster, size, round(sqrt(list_sum(list_transform(c, lambda x: x * x))), 6) AS norm, CAST(unnest(range(len(c))) AS INT) AS place, round(unnest(c), 6) AS value FROM cent",
         "centroid_cosine": f"WITH {VEC} SELECT * FROM scores",
         "hybrid": f"WITH {VEC}, m AS (SELECT a.block, a.cluster AS i, b.cluster AS j, max(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) AS best FROM vec a JOIN vec b ON a.block = b.block AND a.cluster < b.cluster GROUP BY ALL) SELECT s.block, s.i, s.j, round(greatest(s.score, m.best), 6) AS score FROM scores s JOIN m ON s.block = m.block AND s.i = m.i AND s.j = m.j",
         "compatible": f"WITH RECURSIVE {VEC}, {COMPATIBLE} SELECT * FROM fit",

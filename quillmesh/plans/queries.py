@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import decisions as D
 from ..functions import names, text, vectors
 from ..operators import alignment, clusters, embedding, generative, judging, metrics, retrieval, sampling
+from ..sources.durable import kept
 from ..sources.records import bib_records, occurrence, sample_blocks_by_hash
+from .sweep import grid_of, sweep
 
 # --- shared inputs
 
@@ -104,15 +106,10 @@ def q_doc_terms(spark, sf_dir):
 
 
 def q_term_cosine(spark, sf_dir):
-    """Titles of a block's records against its first record's, unstemmed, joined on their terms."""
-    r = bib(spark, sf_dir).select("rid", "ambiguous_name", F.explode(text.content_words(F.col("title"))).alias("term"))
-    tf = r.groupBy("ambiguous_name", "rid", "term").agg(F.count(F.lit(1)).alias("tf"))
-    first = bib(spark, sf_dir).groupBy("ambiguous_name").agg(F.min("rid").alias("rid"))
-    size = tf.groupBy("ambiguous_name", "rid").agg(F.sum(F.col("tf") * F.col("tf")).alias("sq"))
-    seed = tf.join(first, ["ambiguous_name", "rid"]).select("ambiguous_name", "term", F.col("tf").alias("tf0"))
-    seed_size = size.join(first, ["ambiguous_name", "rid"]).select("ambiguous_name", F.col("sq").alias("sq0"))
-    dots = tf.join(seed, ["ambiguous_name", "term"]).groupBy("ambiguous_name", "rid").agg(F.sum(F.col("tf") * F.col("tf0")).alias("dot"))
-    return dots.join(size, ["ambiguous_name", "rid"]).join(seed_size, "ambiguous_name").select("rid", F.round(F.col("dot") / F.sqrt(F.col("sq") * F.col("sq0")), 6).alias("cosine"))
+    """Titles of a block's records against its first record's, unstemmed; 0 where they share no term."""
+    r = bib(spark, sf_dir).select("rid", "ambiguous_name", text.counts(text.content_words(F.col("title"))).alias("terms"))
+    seed = r.groupBy("ambiguous_name").agg(F.min(F.struct("rid", F.map_entries("terms").alias("e"))).alias("s")).select("ambiguous_name", F.map_from_entries("s.e").alias("seed"))
+    return r.join(seed, "ambiguous_name").select("rid", F.round(text.sparse_cosine(F.col("terms"), F.col("seed")), 6).alias("cosine"))
 
 
 def q_document_text(spark, sf_dir):
@@ -123,6 +120,11 @@ def q_fingerprint(spark, sf_dir):
     return embedding.row_digests(bib(spark, sf_dir).withColumnRenamed("rid", "row_index"))
 
 
+def q_embedding_fingerprint(spark, sf_dir):
+    made = embedding.fingerprint(bib(spark, sf_dir).withColumnRenamed("rid", "row_index"), "hashing-64", 256)
+    return spark.createDataFrame([(made,)], "fingerprint string")
+
+
 def q_parse_decision(spark, sf_dir):
     return answers(spark, sf_dir).select("conv_id", "turn", D.parse_decision(F.col("answer")).alias("d")).select("conv_id", "turn", F.col("d").isNotNull().alias("valid"), "d.same_author", F.col("d.same_author_probability").alias("p"), "d.reason")
 
@@ -193,7 +195,7 @@ def q_method_deltas(spark, sf_dir):
     scores = None
     for m in ("base", "extension"):
         pairs = p.select("block", "label", F.col(m).alias("cluster"))
-        one = metrics.pairwise(pairs).join(metrics.bcubed(pairs)).join(metrics.counts(pairs)).select(F.lit(m).alias("method"), "pairwise_f1", "b3_f1", "predicted_clusters")
+        one = metrics.evaluate(pairs).select(F.lit(m).alias("method"), "pairwise_f1", "b3_f1", "predicted_clusters")
         scores = one if scores is None else scores.unionByName(one)
     return _rounded(metrics.method_deltas(scores, "base"))
 
@@ -216,7 +218,7 @@ def q_align(spark, sf_dir):
     runs = {
         "a": keyed.withColumn("predicted_cluster", F.col("l_orderkey").cast("string")),
         "b": keyed.withColumn("predicted_cluster", F.date_format("l_shipdate", "yyyy-MM")),
-        "c": keyed.where("l_orderkey % 5 = 0").withColumn("predicted_cluster", (F.col("l_orderkey") % 10).cast("string")),
+        "c": keyed.withColumn("predicted_cluster", (F.col("l_orderkey") % 10).cast("string")),
     }
     return alignment.aligned({k: v.select(*alignment.KEYS, "row_index", "predicted_cluster") for k, v in runs.items()}, "c")
 
@@ -278,7 +280,8 @@ def _scores(spark, sf_dir):
 
 def q_centroids(spark, sf_dir):
     c = retrieval.centroids(vectors_of(spark, sf_dir))
-    return c.select("block", "cluster", "size", F.round(vectors.norm(F.col("centroid")), 6).alias("norm"), F.round(F.get("centroid", F.lit(0)), 6).alias("first"))
+    c = c.select("block", "cluster", "size", F.round(vectors.norm(F.col("centroid")), 6).alias("norm"), F.posexplode("centroid").alias("place", "v"))
+    return c.select("block", "cluster", "size", "norm", "place", F.round("v", 6).alias("value"))
 
 
 def q_centroid_cosine(spark, sf_dir):
@@ -346,7 +349,7 @@ def _unresolved(spark, sf_dir):
 
 def _generative(spark, sf_dir):
     r, lexical = _unresolved(spark, sf_dir)
-    return generative.generative(r, lexical, judging.Settings(threshold=0.3, budget=6, top_k=3))
+    return generative.generative(r, lexical)
 
 
 def q_generative_step(spark, sf_dir):
@@ -354,14 +357,12 @@ def q_generative_step(spark, sf_dir):
 
 
 def q_decision_log(spark, sf_dir):
-    return _generative(spark, sf_dir).log.drop("prompts")
+    return _generative(spark, sf_dir).log.drop("prompts", "seconds")
 
 
 def q_threshold_sweep(spark, sf_dir):
-    from .sweep import sweep
-
-    r, lexical = _unresolved(spark, sf_dir)
-    return sweep(r, lexical, [judging.Settings(threshold=0.3, budget=4, top_k=3, confidence=c) for c in (0.6, 0.8)], least_precision=0.0)
+    r, lexical = (kept(x) for x in _unresolved(spark, sf_dir))
+    return sweep(r, lexical, grid_of(judging.Settings(), (0.6, 0.8), (0.45, 0.55), (3, 5)), least_precision=0.0)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -369,7 +370,7 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = records_for_folds(spark, sf_dir)
     found = clusters.lexical(clusters.prepared(records))
     pairs = records.join(found.select("row_index", "predicted_cluster"), "row_index").select(F.col("ambiguous_name").alias("block"), "label", F.col("predicted_cluster").alias("cluster"))
-    return metrics.evaluate(pairs.persist())
+    return metrics.evaluate(pairs)
 
 
 def q_lexical_evaluated(spark, sf_dir):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 
 @dataclass(frozen=True)
@@ -49,6 +49,25 @@ def bars(title: str, groups: list[str], series: dict[str, list[float]], style: S
     return _svg("".join(out), style)
 
 
+def table(head: list[str], rows: list[list[str]], style: Style = Style()) -> str:
+    """A ruled table: the first column to the left, all others to the right, rows shaded in turn."""
+    longest = [max(len(r[k]) for r in [head, *rows]) + 2 for k in range(len(head))]
+    ends, total = [], sum(longest)
+    for n in longest:
+        ends.append((ends[-1] if ends else 20) + (style.width - 40) * n / total)
+    high = 24
+    out = []
+    for i, r in enumerate([head, *rows]):
+        y = 20 + high * i
+        if i % 2:
+            out.append(f'<rect x="20" y="{y}" width="{style.width - 40}" height="{high}" fill="{style.border}" fill-opacity="0.25"/>')
+        for k, cell in enumerate(r):
+            out.append(_text(26 if k == 0 else ends[k] - 6, y + 16, cell, style, "start" if k == 0 else "end"))
+    below = 20 + high * len(rows) + high
+    out.append(f'<line x1="20" x2="{style.width - 20}" y1="{20 + high}" y2="{20 + high}" stroke="{style.text}"/>')
+    return _svg("".join(out), replace(style, height=below + 20))
+
+
 def steps(title: str, names: list[str], style: Style = Style()) -> str:
     """Boxes joined by arrows."""
     wide = (style.width - 40) / len(names)

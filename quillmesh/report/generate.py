@@ -1,4 +1,4 @@
-"""From aligned predictions to report files: scores, tables, charts and the text sections of a README."""
+"""From aligned predictions to report files: scores, charts, examples and the text sections of a README."""
 
 from __future__ import annotations
 
@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ..operators import alignment, metrics, sampling
 from ..sources import sinks
-from ..sources.records import occurrence
-from . import charts
-from .tables import LANGUAGES, Cohort, change_rows, empty_bins, group_section, html_table, machine_rows, markdown, number, pair_section, parameter_tables, score_rows, statistics_rows, word
+from ..sources.durable import kept
+from ..sources.records import occurrence, scan_csv
+from . import charts, text
+from .tables import LANGUAGES, Cohort, check_time, duration, group_section, number, pair_section, score_rows, statistics_rows, word
 
+CHANGES = ("merges_corrected", "merges_introduced", "splits_corrected", "splits_introduced")
 METHODS = ("lexical", "semantic", "generative")
 PREFIX = "REPORT"
 
@@ -23,7 +25,8 @@ def load(spark: SparkSession, folder: str, methods=METHODS) -> tuple[Cohort, Dat
     The last method defines the cohort: extra records of the others are left out, missing ones are an error.
     """
     frames = {m: sinks.read_predictions(spark, f"{folder}/{m}_predictions") for m in methods}
-    common = alignment.aligned(frames, methods[-1]).persist()
+    common = alignment.aligned(frames, methods[-1])
+    common = kept(common, "aligned")
     alignment.require_complete(common, frames, methods[-1])
     long = alignment.long_form(common, list(methods))
     scores = {m: sinks.first_row(metrics.evaluate(long.where(F.col("method") == m))) for m in methods}
@@ -74,68 +77,83 @@ def pair_examples(common: DataFrame, source: DataFrame, methods: list[str], n: i
     return "".join(out)
 
 
-def sections(c: Cohort, language: str = "en") -> dict[str, str]:
-    """The seven text sections by name, as Markdown."""
-    best, base = c.best(), c.baseline
-    gain = (c.scores[best]["b3_f1"] - c.scores[base]["b3_f1"]) * 100
-    pct = lambda v: number(v * 100, ".2f", language) + "%"
-    en = language == "en"
-    errors = c.runs.get(c.methods[-1], {}).get("decision_diagnostics") or {}
-    zero = empty_bins(errors.get("confidence_bins") or [])
-    return {
-        "DATA": markdown(*statistics_rows(c, language)),
-        "SETUP": markdown(*machine_rows(c, language)) + "\n\n" + "\n\n".join(f"**{', '.join(ms)}**\n\n{markdown(h, r)}" for ms, h, r in parameter_tables(c, language)),
-        "RESULTS": markdown(*score_rows(c, language)),
-        "ERRORS": markdown(*change_rows(c, language)),
-        "JUDGE": (
-            (f"{zero[0]} comparisons got probability 0; {zero[1]} of them were of one author." if en else f"{zero[0]} comparações receberam probabilidade 0; {zero[1]} delas eram de um mesmo autor.")
-            if errors
-            else word("not_recorded", language)
-        ),
-        "COST": markdown([word("method", language), word("runtime", language)], [r for r in [[m, str(c.runs.get(m, {}).get("runtime_seconds", word("not_recorded", language)))] for m in c.methods]]),
-        "SUMMARY": (
-            f"{best} has the best B-cubed F1, {pct(c.scores[best]['b3_f1'])}, {number(gain, '+.2f', language)} pp against {base}."
-            if en
-            else f"{best} tem o melhor F1 B-cubed, {pct(c.scores[best]['b3_f1'])}, {number(gain, '+.2f', language)} p.p. em relação a {base}."
-        ),
-    }
+def chart_data(c: Cohort) -> dict[str, list[dict]]:
+    """The numbers of every chart: stem -> rows of method, metric and value. Charts are drawn from these and nothing else."""
+    rates = {"pairwise_metrics": ("pairwise_precision", "pairwise_recall", "pairwise_f1"), "bcubed_metrics": ("b3_precision", "b3_recall", "b3_f1"), "purity_k_metrics": ("average_cluster_purity", "average_author_purity", "k_metric")}
+    row = lambda m, k, v: {"method": m, "metric": k, "value": v}
+    out = {stem: [row(m, k, c.scores[m][k]) for m in c.methods for k in keys] for stem, keys in rates.items()}
+    out["error_changes"] = [row(m, k, v[k]) for m, v in c.changes.items() for k in CHANGES]
+    out["execution_time"] = [row(m, "s", check_time(c.runs.get(m, {}).get("runtime_seconds"))) for m in c.methods]
+    return out
 
 
-def chart_data(c: Cohort) -> list[dict]:
-    """Every number that a chart shows: method, metric, value."""
-    return [{"method": m, "metric": k, "value": float(v)} for m in c.methods for k, v in c.scores[m].items()]
+def bar_chart(title: str, rows: list[dict], style: charts.Style, language: str, by: str = "metric", **options) -> str:
+    """Groups of bars along `by`, one bar of each for every value of the other column."""
+    other = "method" if by == "metric" else "metric"
+    groups, series = (list(dict.fromkeys(r[c] for r in rows)) for c in (by, other))
+    value = {(r[by], r[other]): r["value"] for r in rows}
+    return charts.bars(title, [word(g, language) for g in groups], {word(s, language): [value[g, s] for g in groups] for s in series}, style, **options)
 
 
 def generate(c: Cohort, folder: str | Path, language: str = "pt_BR", style: charts.Style = charts.Style()) -> list[Path]:
-    """Eight files; Portuguese ones have the suffix _pt_BR."""
+    """Eight files; Portuguese ones have the suffix -pt_BR."""
     if language not in LANGUAGES:
         raise ValueError(f"unknown language {language!r}")
-    folder, suffix = Path(folder), "_pt_BR" if language == "pt_BR" else ""
+    folder = Path(folder)
     folder.mkdir(parents=True, exist_ok=True)
-    labels = lambda keys: [word(k, language) for k in keys]
-    chart = lambda title, keys: charts.bars(title, labels(keys), {m: [c.scores[m][k] for k in keys] for m in c.methods}, style)
-    change_keys = ("merges_corrected", "merges_introduced", "splits_corrected", "splits_introduced")
+    data = chart_data(c)
+    whole = lambda v: number(v, ",", language)
     files = {
-        "pairwise.svg": chart("Pairwise", ("pairwise_precision", "pairwise_recall", "pairwise_f1")),
-        "b_cubed.svg": chart("B-cubed", ("b3_precision", "b3_recall", "b3_f1")),
-        "purity.svg": chart("K", ("average_cluster_purity", "average_author_purity", "k_metric")),
-        "error_changes.svg": charts.bars(word("method", language), labels(change_keys), {m: [v[k] for k in change_keys] for m, v in c.changes.items()}, style, label=lambda v: f"{v:,}"),
-        "methodology.svg": charts.steps(word("method", language), list(c.methods), style),
-        "statistics.html": html_table(*statistics_rows(c, language)),
-        "summary.html": html_table(*score_rows(c, language)),
+        "data_statistics": charts.table(*statistics_rows(c, language), style),
+        "pairwise_metrics": bar_chart(word("pairs", language), data["pairwise_metrics"], style, language),
+        "bcubed_metrics": bar_chart("B-cubed", data["bcubed_metrics"], style, language),
+        "purity_k_metrics": bar_chart("K", data["purity_k_metrics"], style, language),
+        "reports_table": charts.table(*score_rows(c, language), style),
+        "error_changes": bar_chart(word("changes", language), data["error_changes"], style, language, label=whole),
+        "execution_time": bar_chart(word("runtime", language), data["execution_time"], style, language, by="method", log=True, label=lambda v: duration(v, language)),
+        "methodology": charts.steps(word("method", language), list(c.methods), style),
     }
-    times = [c.runs.get(m, {}).get("runtime_seconds") for m in c.methods]
-    if all(times):
-        files["run_time.svg"] = charts.bars(word("runtime", language), list(c.methods), {"s": times}, style, log=True)
     out = []
-    for name, body in files.items():
-        stem, dot, kind = name.rpartition(".")
-        out.append(folder / f"{stem}{suffix}{dot}{kind}")
+    for stem, body in files.items():
+        out.append(folder / chart_name(stem, language))
         out[-1].write_text(body, encoding="utf-8")
     return out
 
 
-def update_readme(path: str | Path, c: Cohort, language: str = "en") -> None:
+def chart_name(stem: str, language: str) -> str:
+    return f"{stem}{'-pt_BR' if language == 'pt_BR' else ''}.svg"
+
+
+def update_readme(path: str | Path, c: Cohort, language: str = "en", report_dir: str | Path = "figs") -> None:
     """Replace the seven marked sections; nothing is written unless all markers are right."""
     path = Path(path)
-    path.write_text(sinks.replace_sections(path.read_text(encoding="utf-8"), sections(c, language), PREFIX), encoding="utf-8")
+    links = {stem: sinks.relative(Path(report_dir) / chart_name(stem, language), path) for stem in text.CAPTIONS}
+    path.write_text(sinks.replace_sections(path.read_text(encoding="utf-8"), text.sections(c, language, links), PREFIX), encoding="utf-8")
+
+
+def report(spark: SparkSession, output_dir: str, report_dir: str, language: str = "pt_BR", readme: str | None = None, source: str | None = None, examples: int = 1, seed: int = 42, show: bool = False) -> dict:
+    """Charts, examples and, if asked for, a README's sections, from the runs in output_dir.
+
+    Examples need the publications: those of `source`, or of the last method's input if that is still there.
+    """
+    cohort, common = load(spark, output_dir)
+    files = generate(cohort, report_dir, language)
+    path = source or cohort.runs[cohort.methods[-1]].get("input")
+    if examples and path and (source or readable(spark, path)):
+        publications = kept(scan_csv(spark, path), "publications")
+        for name, body in (
+            ("group_examples", group_examples(common, publications, examples, seed=seed, language=language)),
+            ("pair_examples", pair_examples(common, publications, cohort.methods, examples, seed, language)),
+        ):
+            files.append(Path(report_dir) / chart_name(name, language).replace(".svg", ".html"))
+            files[-1].write_text(body, encoding="utf-8")
+    if readme:
+        update_readme(readme, cohort, language, report_dir)
+    if show:
+        print("\n\n".join(text.sections(cohort, language).values()))
+    return {"files": [str(f) for f in files]}
+
+
+def readable(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

@@ -10,6 +10,8 @@ LANGUAGES = ("pt_BR", "en")
 #: Words of the reports: key -> (English, Portuguese).
 WORDS = {
     "metric": ("Metric", "Métrica"),
+    "pairs": ("Pairwise", "Por pares"),
+    "changes": ("Changed pairs", "Pares alterados"),
     "method": ("Method", "Método"),
     "records": ("Records", "Registros"),
     "papers": ("Papers", "Publicações"),

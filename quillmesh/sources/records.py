@@ -25,7 +25,7 @@ def scan_csv(spark: SparkSession, path: str) -> DataFrame:
     schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
     # The quote is its own escape in CSV; Spark's default would read a backslash as one.
     rows = spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8", mode="FAILFAST")
-    return numbered(rows.na.fill(""))
+    return numbered(rows).na.fill("", names)
 
 
 def _split_header(line: str) -> list[str]:
@@ -40,9 +40,22 @@ def check_columns(names) -> None:
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """row_index by position in the scan. A CSV scan has no row numbers of its own, so partitions are counted once."""
-    schema = T.StructType([*rows.schema.fields, T.StructField("row_index", T.LongType(), False)])
-    return rows.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(schema)
+    """row_index by position: in the order of file names where rows is a scan, else in that of partitions.
+
+    A CSV scan has no row numbers of its own, and its tasks don't follow the order of file names. Rows are counted by file
+    split once, in the JVM; the counts, one row for each split, are broadcast. Both looks must see the same splits, as
+    those of files do; a table made otherwise has to be the same each time that it is computed.
+    """
+    names = rows.columns
+    place = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start")] if rows.inputFiles() else [F.lit(""), F.lit(0).cast("long")]
+    at = rows.select("*", place[0].alias("_file"), place[1].alias("_split"), F.monotonically_increasing_id().alias("_id"))
+    # Rows of one task have ids in a row; a task may read several files.
+    at = at.withColumn("_task", F.shiftright("_id", 33))
+    counts = at.groupBy("_file", "_split", "_task").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_file", "_split", "_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("_before", before).drop("_n")
+    out = at.join(F.broadcast(counts), ["_file", "_split", "_task"])
+    return out.select(*[F.col(f"`{c}`") for c in names], (F.col("_before") + F.col("_id") - F.col("_first")).cast("long").alias("row_index"))
 
 
 def sample_blocks(records: DataFrame, n: int, seed: int = 42) -> DataFrame:
@@ -79,12 +92,22 @@ def _literal_names(text: str | None) -> list[str]:
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def _literal_lists(values: pa.Array) -> pa.Array:
-    return pa.array([_literal_names(v) for v in values.to_pylist()], pa.list_(pa.string()))
+    return pa.array([None if v is None else _literal_names(v) for v in values.to_pylist()], pa.list_(pa.string()))
+
+
+#: A list of plain string literals: no escapes, prefixes or control characters, nothing that Python and JSON read differently.
+_PLAIN_STRING = r"""(?:'[^'\\\x00-\x1f]*'|"[^"\\\x00-\x1f]*")"""
+_PLAIN_LIST = rf"^ *\[ *(?:{_PLAIN_STRING}(?: *, *{_PLAIN_STRING})*)? *\]$"
 
 
 def coauthor_list(text: Column) -> Column:
-    """The list of names that a Python list literal holds; anything else is an error."""
-    return _literal_lists(F.coalesce(text, F.lit("")))
+    """The list of names that a Python list literal holds; anything else is an error.
+
+    Plain lists are read in the JVM; only those of another form go through Python.
+    """
+    text = F.coalesce(text, F.lit(""))
+    plain = text.rlike(_PLAIN_LIST)
+    return F.when(plain, F.from_json(text, "array<string>", {"allowSingleQuotes": "true"})).otherwise(_literal_lists(F.when(~plain, text)))
 
 
 def bib_records(spark: SparkSession, sf_dir: str) -> DataFrame:
