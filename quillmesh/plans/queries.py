@@ -107,7 +107,8 @@ def q_doc_terms(spark, sf_dir):
 
 def q_term_cosine(spark, sf_dir):
     """Titles of a block's records against its first record's, unstemmed; 0 where they share no term."""
-    r = bib(spark, sf_dir).select("rid", "ambiguous_name", text.counts(text.content_words(F.col("title"))).alias("terms"))
+    r = bib(spark, sf_dir).select("rid", "ambiguous_name", text.content_words(F.col("title")).alias("words"))
+    r = r.select("rid", "ambiguous_name", text.counts(F.col("words")).alias("terms"))
     seed = r.groupBy("ambiguous_name").agg(F.min(F.struct("rid", F.map_entries("terms").alias("e"))).alias("s")).select("ambiguous_name", F.map_from_entries("s.e").alias("seed"))
     return r.join(seed, "ambiguous_name").select("rid", F.round(text.sparse_cosine(F.col("terms"), F.col("seed")), 6).alias("cosine"))
 
