@@ -321,6 +321,6 @@ FROM v LEFT JOIN n ON v.vec_id = n.vec_id LEFT JOIN c ON v.vec_id = c.vec_id
 SQL = SQL_OF.format(vectors="embeddings")
 PLANTED_SQL = SQL_OF.format(
     vectors="(SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings UNION ALL "
-    "SELECT vec_id + k.k * 1000000000, list_transform(CAST(embedding AS DOUBLE[]), lambda e, i: e + CASE WHEN (i - 1) % 4 = 0 THEN k.s ELSE 0.0 END * abs(e)) "
+    "SELECT CAST(vec_id + k.k * CAST(1000000000 AS BIGINT) AS BIGINT), list_transform(CAST(embedding AS DOUBLE[]), lambda e, i: e + CASE WHEN (i - 1) % 4 = 0 THEN k.s ELSE 0.0 END * abs(e)) "
     "FROM embeddings, (VALUES (1, CAST(0.3 AS DOUBLE)), (2, CAST(0.9 AS DOUBLE)), (3, CAST(1.5 AS DOUBLE))) AS k(k, s) WHERE vec_id % 2 = 0)"
 )
