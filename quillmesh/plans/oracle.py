@@ -76,9 +76,91 @@ j AS (SELECT event_id % 11 <> 0 AS valid, CASE WHEN user_id % 7 = 0 THEN NULL EL
 k AS (SELECT label, p, p > 0.5 AND p >= 0.7 AS acc FROM j WHERE valid AND label IS NOT NULL)"""
 
 
+RATES = ("pw.p AS pairwise_precision", "pw.r AS pairwise_recall", _F1.format("pw") + " AS pairwise_f1", "bc.p AS b3_precision", "bc.r AS b3_recall", _F1.format("bc") + " AS b3_f1")
+
+
+def rounded(*columns: str) -> str:
+    return ", ".join(f"round({c.split(' AS ')[0]}, 6) AS {c.split(' AS ')[1]}" for c in columns)
+
+
+EVALUATED = f"""SELECT (SELECT count(*) FROM pairs) AS records, (SELECT count(DISTINCT label) FROM pairs) AS true_authors, (SELECT count(DISTINCT cluster) FROM pairs) AS predicted_clusters, {rounded(*RATES)},
+  (SELECT round(avg(acp), 6) FROM pu) AS average_cluster_purity, (SELECT round(avg(aap), 6) FROM pu) AS average_author_purity, (SELECT round(avg(k), 6) FROM pu) AS k_metric FROM pw, bc"""
+
+# --- the folds
+
+#: The first fold, one record of every block at a time. State: clusters' first names, the keys they hold, their members' places.
+FOLDED = f"""{BIB},
+n AS (SELECT DISTINCT ambiguous_name, author_name FROM bib),
+cand AS (SELECT x.ambiguous_name, x.author_name AS a, y.author_name AS b, {TOKENS.format("x.author_name")} AS ta, {TOKENS.format("y.author_name")} AS tb FROM n x JOIN n y ON x.ambiguous_name = y.ambiguous_name),
+{_SIMILAR},
+allowed AS (SELECT cand.ambiguous_name, cand.a, list(DISTINCT cand.b) AS fits FROM cand JOIN verdict ON cand.a = verdict.a AND cand.b = verdict.b WHERE ok GROUP BY ALL),
+s AS (SELECT rid, regexp_extract_all(lower(unnest(coauthors)), '[a-z0-9]+') AS ts FROM bib),
+keyed AS (SELECT rid, list(DISTINCT key) AS keys FROM (SELECT rid, unnest({_KEYS.format("ts")}) AS key FROM s) GROUP BY rid),
+recs AS (
+  SELECT bib.rid, bib.ambiguous_name, author_name, title, venue, coalesce(keys, []) AS keys, coalesce(fits, []) AS fits,
+    row_number() OVER (PARTITION BY bib.ambiguous_name ORDER BY len(list_filter({TOKENS.format("author_name")}, lambda t: length(t) > 1)) > 1 DESC, bib.rid) AS place
+  FROM bib LEFT JOIN keyed ON bib.rid = keyed.rid LEFT JOIN allowed ON allowed.ambiguous_name = bib.ambiguous_name AND allowed.a = author_name),
+fold AS (
+  SELECT ambiguous_name, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS rid, CAST(0 AS BIGINT) AS cluster_no, CAST([] AS VARCHAR[]) AS firsts, CAST([] AS VARCHAR[][]) AS held, CAST([] AS BIGINT[][]) AS members
+  FROM (SELECT DISTINCT ambiguous_name FROM recs)
+  UNION ALL
+  SELECT ambiguous_name, k + 1, new_rid, coalesce(hit, len(firsts) + 1),
+    CASE WHEN hit IS NULL THEN list_append(firsts, author_name) ELSE firsts END,
+    CASE WHEN hit IS NULL THEN list_append(held, keys) ELSE list_transform(held, lambda h, i: CASE WHEN i = hit THEN list_concat(h, keys) ELSE h END) END,
+    CASE WHEN hit IS NULL THEN list_append(members, [k + 1]) ELSE list_transform(members, lambda h, i: CASE WHEN i = hit THEN list_append(h, k + 1) ELSE h END) END
+  FROM (
+    SELECT f.ambiguous_name, f.k, f.firsts, f.held, f.members, r.rid AS new_rid, r.author_name, r.keys,
+      list_min(list_filter(list_transform(f.firsts, lambda b, i: CASE WHEN list_contains(r.fits, b) AND list_has_any(f.held[i], r.keys) THEN i END), lambda i: i IS NOT NULL)) AS hit
+    FROM fold f JOIN recs r ON r.ambiguous_name = f.ambiguous_name AND r.place = f.k + 1))"""
+_ACROSS = "list_sum(list_transform({0}, lambda p: list_sum(list_transform({1}, lambda q: {2}[p][q]))))"
+
+
+def _cosine(matrix: str) -> str:
+    dot, left, right = (_ACROSS.format(a, b, matrix) for a, b in (("x.seed", "y.seed"), ("x.seed", "x.seed"), ("y.seed", "y.seed")))
+    return f"(CASE WHEN {left} = 0 OR {right} = 0 THEN 0.0 ELSE {dot} / (sqrt(CAST({left} AS DOUBLE)) * sqrt(CAST({right} AS DOUBLE))) END)"
+
+
+LEXICAL = "m.f[x.seed[1]][y.seed[1]] AND ({t} > {{title}} OR {v} > {{venue}})".format(t=_cosine("m.t"), v=_cosine("m.v"))
+SEMANTIC = LEXICAL[:-1] + f" OR {_cosine('m.e')} > 0.5)"
+NUMBERED = " SELECT rid AS row_index, ambiguous_name, CAST(cluster_no AS INT) AS cluster_no, printf('%s::%04d', ambiguous_name, cluster_no) AS predicted_cluster FROM done"
+
+
+def merged(link: str, title: float, venue: float) -> str:
+    """The second fold: a step lets one cluster of every block take in later ones, from left to right, until a pass changes nothing.
+
+    Clusters are lists of places; m holds the records' dot products, so that sums over members are those of merged vectors.
+    Terms are unstemmed: over the words of these tables stemming changes no word into another's stem.
+    """
+    linked = link.format(title=title, venue=venue)
+    own = "[{'seed': s.clusters[least(s.i, len(s.clusters))], 'rest': CAST([] AS BIGINT[][])}]"
+    later = "list_transform(s.clusters[s.i + 1:], lambda c: {'seed': c, 'rest': CAST([] AS BIGINT[][])})"
+    return f"""WITH RECURSIVE {FOLDED},
+tt AS (SELECT rid, ambiguous_name, term, count(*) AS n FROM (SELECT rid, ambiguous_name, unnest({_WORDS.format("title")}) AS term FROM bib) GROUP BY ALL),
+vt AS (SELECT rid, ambiguous_name, term, count(*) AS n FROM (SELECT rid, ambiguous_name, unnest({_WORDS.format("venue")}) AS term FROM bib) GROUP BY ALL),
+td AS (SELECT a.rid AS ra, b.rid AS rb, CAST(sum(a.n * b.n) AS BIGINT) AS dot FROM tt a JOIN tt b ON a.ambiguous_name = b.ambiguous_name AND a.term = b.term GROUP BY ALL),
+vd AS (SELECT a.rid AS ra, b.rid AS rb, CAST(sum(a.n * b.n) AS BIGINT) AS dot FROM vt a JOIN vt b ON a.ambiguous_name = b.ambiguous_name AND a.term = b.term GROUP BY ALL),
+given AS (SELECT recs.*, CAST(embedding AS DOUBLE[]) AS e FROM recs JOIN embeddings ON vec_id = rid % (SELECT count(*) FROM embeddings)),
+grid AS (
+  SELECT x.ambiguous_name, x.place AS pa, y.place AS pb, coalesce(td.dot, 0) AS t, coalesce(vd.dot, 0) AS v, list_contains(x.fits, y.author_name) AS f, {"list_inner_product(x.e, y.e)" if "m.e" in link else "0.0"} AS e
+  FROM given x JOIN given y ON x.ambiguous_name = y.ambiguous_name LEFT JOIN td ON td.ra = x.rid AND td.rb = y.rid LEFT JOIN vd ON vd.ra = x.rid AND vd.rb = y.rid),
+m AS (
+  SELECT ambiguous_name, list(t ORDER BY pa) AS t, list(v ORDER BY pa) AS v, list(f ORDER BY pa) AS f, list(e ORDER BY pa) AS e
+  FROM (SELECT ambiguous_name, pa, list(t ORDER BY pb) AS t, list(v ORDER BY pb) AS v, list(f ORDER BY pb) AS f, list(e ORDER BY pb) AS e FROM grid GROUP BY ALL) GROUP BY ambiguous_name),
+step AS (
+  SELECT ambiguous_name, CAST(1 AS BIGINT) AS i, arg_max(members, k) AS clusters, false AS grew FROM fold GROUP BY ambiguous_name
+  UNION ALL
+  SELECT ambiguous_name, CASE WHEN i > len(clusters) THEN 1 ELSE i + 1 END, CASE WHEN i > len(clusters) THEN clusters ELSE list_concat(clusters[1:i - 1], [r.seed], r.rest) END,
+    CASE WHEN i > len(clusters) THEN false ELSE grew OR len(r.rest) < len(clusters) - i END
+  FROM (
+    SELECT s.ambiguous_name, s.i, s.clusters, s.grew,
+      list_reduce(list_concat({own}, {later}), lambda x, y: CASE WHEN {linked} THEN {{'seed': list_concat(x.seed, y.seed), 'rest': x.rest}} ELSE {{'seed': x.seed, 'rest': list_append(x.rest, y.seed)}} END) AS r
+    FROM step s JOIN m ON m.ambiguous_name = s.ambiguous_name WHERE s.i <= len(s.clusters) OR s.grew)),
+last AS (SELECT ambiguous_name, unnest(clusters) AS c, unnest(range(1, len(clusters) + 1)) AS cluster_no FROM step WHERE i > len(clusters) AND NOT grew),
+done AS (SELECT recs.rid, recs.ambiguous_name, cluster_no FROM (SELECT ambiguous_name, cluster_no, unnest(c) AS place FROM last) l JOIN recs ON recs.ambiguous_name = l.ambiguous_name AND recs.place = l.place)"""
+
+
 def oracle_sql() -> dict[str, str]:
     own = TOKENS.format("author_name")
-    rounded = lambda *cs: ", ".join(f"round({c.split(' AS ')[0]}, 6) AS {c.split(' AS ')[1]}" for c in cs)
     sql = {
         "name_tokens": f"WITH {BIB} SELECT rid, array_to_string({own}, ' ') AS tokens, CAST(len({own}) AS INT) AS n_tokens FROM bib",
         "long_name": f"WITH {BIB} SELECT rid, len(list_filter({own}, lambda t: length(t) > 1)) > 1 AS long_name FROM bib",
@@ -97,30 +179,12 @@ z AS (SELECT rid, sum(tf * tf) AS sq FROM tf GROUP BY ALL),
 d AS (SELECT a.rid, sum(a.tf * b.tf) AS dot FROM tf a JOIN f ON a.ambiguous_name = f.ambiguous_name JOIN tf b ON b.rid = f.first AND a.term = b.term GROUP BY a.rid)
 SELECT bib.rid, round(coalesce(d.dot / sqrt(za.sq * zb.sq), 0.0), 6) AS cosine
 FROM bib JOIN f ON bib.ambiguous_name = f.ambiguous_name LEFT JOIN d ON d.rid = bib.rid LEFT JOIN z za ON za.rid = bib.rid LEFT JOIN z zb ON zb.rid = f.first""",
-        # The fold, one record of every block at a time: first names of clusters, and the keys that they hold.
-        "first_step": f"""
-WITH RECURSIVE {BIB},
-n AS (SELECT DISTINCT ambiguous_name, author_name FROM bib),
-cand AS (SELECT x.ambiguous_name, x.author_name AS a, y.author_name AS b, {TOKENS.format("x.author_name")} AS ta, {TOKENS.format("y.author_name")} AS tb FROM n x JOIN n y ON x.ambiguous_name = y.ambiguous_name),
-{_SIMILAR},
-allowed AS (SELECT cand.ambiguous_name, cand.a, list(DISTINCT cand.b) AS fits FROM cand JOIN verdict ON cand.a = verdict.a AND cand.b = verdict.b WHERE ok GROUP BY ALL),
-s AS (SELECT rid, regexp_extract_all(lower(unnest(coauthors)), '[a-z0-9]+') AS ts FROM bib),
-keyed AS (SELECT rid, list(DISTINCT key) AS keys FROM (SELECT rid, unnest({_KEYS.format("ts")}) AS key FROM s) GROUP BY rid),
-recs AS (
-  SELECT bib.rid, bib.ambiguous_name, author_name, coalesce(keys, []) AS keys, coalesce(fits, []) AS fits,
-    row_number() OVER (PARTITION BY bib.ambiguous_name ORDER BY len(list_filter({own}, lambda t: length(t) > 1)) > 1 DESC, bib.rid) AS place
-  FROM bib LEFT JOIN keyed ON bib.rid = keyed.rid LEFT JOIN allowed ON allowed.ambiguous_name = bib.ambiguous_name AND allowed.a = author_name),
-fold AS (
-  SELECT ambiguous_name, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS rid, CAST(0 AS BIGINT) AS cluster_no, CAST([] AS VARCHAR[]) AS firsts, CAST([] AS VARCHAR[][]) AS held FROM (SELECT DISTINCT ambiguous_name FROM recs)
-  UNION ALL
-  SELECT ambiguous_name, k + 1, new_rid, coalesce(hit, len(firsts) + 1),
-    CASE WHEN hit IS NULL THEN list_append(firsts, author_name) ELSE firsts END,
-    CASE WHEN hit IS NULL THEN list_append(held, keys) ELSE list_transform(held, lambda h, i: CASE WHEN i = hit THEN list_concat(h, keys) ELSE h END) END
-  FROM (
-    SELECT f.ambiguous_name, f.k, f.firsts, f.held, r.rid AS new_rid, r.author_name, r.keys,
-      list_min(list_filter(list_transform(f.firsts, lambda b, i: CASE WHEN list_contains(r.fits, b) AND list_has_any(f.held[i], r.keys) THEN i END), lambda i: i IS NOT NULL)) AS hit
-    FROM fold f JOIN recs r ON r.ambiguous_name = f.ambiguous_name AND r.place = f.k + 1))
-SELECT rid AS row_index, ambiguous_name, CAST(cluster_no AS INT) AS cluster_no, printf('%s::%04d', ambiguous_name, cluster_no) AS predicted_cluster FROM fold WHERE rid IS NOT NULL""",
+        "first_step": f"WITH RECURSIVE {FOLDED} SELECT rid AS row_index, ambiguous_name, CAST(cluster_no AS INT) AS cluster_no, printf('%s::%04d', ambiguous_name, cluster_no) AS predicted_cluster FROM fold WHERE rid IS NOT NULL",
+        "second_step": merged(LEXICAL, 0.6, 0.9) + NUMBERED,
+        "lexical": merged(LEXICAL, 0.3, 0.5) + NUMBERED,
+        "lexical_evaluated": f"""{merged(LEXICAL, 0.3, 0.5)},
+pairs AS (SELECT done.rid, done.ambiguous_name AS block, bib.label, printf('%s::%04d', done.ambiguous_name, cluster_no) AS cluster FROM done JOIN bib ON done.rid = bib.rid), {SCORED} {EVALUATED}""",
+        "semantic_step": merged(SEMANTIC, 0.6, 0.9) + NUMBERED,
         "embedding_fingerprint": f"""
 WITH {BIB}, d AS (SELECT rid, sha256(paper_id || chr(0) || 'Title: ' || trim(title) || CASE WHEN trim(venue) = '' THEN '' ELSE chr(10) || 'Venue: ' || trim(venue) END || chr(0)) AS digest FROM bib),
 s AS (SELECT rid // 4096 AS span, sha256(string_agg(digest, '' ORDER BY rid)) AS digest FROM d GROUP BY ALL),
@@ -135,7 +199,7 @@ SELECT conv_id, turn, k = 0 OR k > 8 AS valid, CASE WHEN k = 0 OR k > 8 THEN n >
         "pairwise": f"WITH {PRED}, t AS ({TRI}), pw AS (SELECT CASE WHEN predicted = 0 THEN 1.0 ELSE tp / predicted END AS p, CASE WHEN actual = 0 THEN 1.0 ELSE tp / actual END AS r FROM t) SELECT {rounded('p AS pairwise_precision', 'r AS pairwise_recall', _F1.format('pw') + ' AS pairwise_f1')} FROM pw",
         "bcubed": f"WITH {PRED}, {SCORED} SELECT {rounded('p AS b3_precision', 'r AS b3_recall', _F1.format('bc') + ' AS b3_f1')} FROM bc",
         "purity": f"WITH {PRED}, {SCORED} SELECT block, {rounded('acp AS acp', 'aap AS aap', 'k AS k')} FROM pu",
-        "evaluate": f"WITH {PRED}, {SCORED} SELECT (SELECT count(*) FROM pairs) AS records, (SELECT count(DISTINCT label) FROM pairs) AS true_authors, (SELECT count(DISTINCT cluster) FROM pairs) AS predicted_clusters, {rounded('pw.p AS pairwise_precision', 'pw.r AS pairwise_recall', _F1.format('pw') + ' AS pairwise_f1', 'bc.p AS b3_precision', 'bc.r AS b3_recall', _F1.format('bc') + ' AS b3_f1')}, (SELECT round(avg(acp), 6) FROM pu) AS average_cluster_purity, (SELECT round(avg(aap), 6) FROM pu) AS average_author_purity, (SELECT round(avg(k), 6) FROM pu) AS k_metric FROM pw, bc",
+        "evaluate": f"WITH {PRED}, {SCORED} {EVALUATED}",
         "confusion": f"WITH {PRED}, t AS (SELECT a.label = b.label AS s, a.cluster = b.cluster AS c FROM pairs a JOIN pairs b ON a.block = b.block AND a.rid < b.rid) SELECT count(*) FILTER (WHERE s AND c) AS tp, count(*) FILTER (WHERE NOT s AND c) AS fp, count(*) FILTER (WHERE s AND NOT c) AS fn, count(*) FILTER (WHERE NOT s AND NOT c) AS tn FROM t",
         "error_changes": f"WITH {PRED}, t AS (SELECT a.label = b.label AS s, a.base = b.base AS x, a.extension = b.extension AS y FROM pred a JOIN pred b ON a.block = b.block AND a.rid < b.rid) SELECT count(*) FILTER (WHERE NOT s AND x AND NOT y) AS merges_corrected, count(*) FILTER (WHERE NOT s AND NOT x AND y) AS merges_introduced, count(*) FILTER (WHERE s AND NOT x AND y) AS splits_corrected, count(*) FILTER (WHERE s AND x AND NOT y) AS splits_introduced FROM t",
         "statistics": f"WITH {PRED}, b AS (SELECT block, count(*) AS n, count(DISTINCT label) AS a FROM pred GROUP BY block), l AS (SELECT label, count(*) AS n FROM pred GROUP BY label) SELECT (SELECT count(*) FROM pred) AS records, (SELECT count(DISTINCT paper_id) FROM pred) AS papers, (SELECT count(DISTINCT block) FROM pred) AS blocks, (SELECT count(DISTINCT label) FROM pred) AS authors, min(a) AS authors_per_block_min, max(a) AS authors_per_block_max, round(avg(a), 6) AS authors_per_block_mean, min(n) AS records_per_block_min, max(n) AS records_per_block_max, round(avg(n), 6) AS records_per_block_mean, (SELECT min(n) FROM l) AS records_per_author_min, (SELECT max(n) FROM l) AS records_per_author_max, (SELECT round(avg(n), 6) FROM l) AS records_per_author_mean FROM b",

@@ -368,7 +368,7 @@ def q_threshold_sweep(spark, sf_dir):
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: lexical clustering of all records, evaluated."""
-    records = records_for_folds(spark, sf_dir)
+    records = kept(records_for_folds(spark, sf_dir), "records")
     found = clusters.lexical(clusters.prepared(records))
     pairs = records.join(found.select("row_index", "predicted_cluster"), "row_index").select(F.col("ambiguous_name").alias("block"), "label", F.col("predicted_cluster").alias("cluster"))
     return metrics.evaluate(pairs)
