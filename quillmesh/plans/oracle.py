@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.text import STOP_WORDS
-from .queries import NAMES, THRESHOLD
+from .queries import ADDED, NAMES, THRESHOLD
 
 BIB = """
 lines AS (
@@ -167,8 +167,13 @@ def oracle_sql() -> dict[str, str]:
         "coauthor_keys": f"WITH {BIB}, t AS (SELECT rid, {own} AS ts FROM bib) SELECT rid, array_to_string({_KEYS.format('ts')}, '|') AS keys FROM t",
         "token_compatible": f"WITH {BIB}, t AS (SELECT DISTINCT unnest({own}) AS t FROM bib) SELECT a.t AS a, b.t AS b FROM t a, t b WHERE {FITS.format('a.t', 'b.t')}",
         "names_similar": f"WITH RECURSIVE {BIB}, n AS (SELECT DISTINCT ambiguous_name, author_name FROM bib), cand AS (SELECT x.ambiguous_name, x.author_name AS a, y.author_name AS b, {TOKENS.format('x.author_name')} AS ta, {TOKENS.format('y.author_name')} AS tb FROM n x JOIN n y ON x.ambiguous_name = y.ambiguous_name), {_SIMILAR} SELECT cand.ambiguous_name, cand.a, cand.b, ok AS fits FROM cand JOIN verdict ON cand.a = verdict.a AND cand.b = verdict.b",
-        # A supplier's name has two tokens, of which the second is a number: only the author's own form can match.
-        "focal_exclusion": f"WITH {BIB} SELECT rid, array_to_string(coauthors, '|') AS others, CAST(len(coauthors) AS INT) AS n_others FROM bib",
+        "focal_exclusion": f"""
+WITH RECURSIVE {BIB},
+e AS (SELECT rid, author_name, unnest(list_concat(coauthors, {list(ADDED)}, [author_name])) AS c FROM bib),
+cand AS (SELECT DISTINCT c AS a, author_name AS b, {TOKENS.format("c")} AS ta, {TOKENS.format("author_name")} AS tb FROM e),
+{_SIMILAR}
+SELECT rid, coalesce(string_agg(c, '|' ORDER BY c), '') AS others, CAST(count(c) AS INT) AS n_others
+FROM (SELECT e.rid, CASE WHEN NOT ok THEN c END AS c FROM e JOIN verdict ON e.c = verdict.a AND e.author_name = verdict.b) GROUP BY rid""",
         "doc_normalize": "SELECT doc_id, md5(lower(strip_accents(text))) AS folded_md5 FROM documents",
         "doc_terms": f"WITH t AS (SELECT doc_id, unnest({_WORDS.format('text')}) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL) SELECT doc_id, count(*) AS n_terms, CAST(sum(tf) AS BIGINT) AS n_words, CAST(sum(tf * tf) AS BIGINT) AS square, list(term ORDER BY tf DESC, term DESC)[1] AS top_term FROM c GROUP BY doc_id",
         "term_cosine": f"""
@@ -211,6 +216,9 @@ SELECT conv_id, turn, k = 0 OR k > 8 AS valid, CASE WHEN k = 0 OR k > 8 THEN n >
         parts.append(f"SELECT * FROM ({one.format(p=p, s=SCORED, m=m, f=_F1.format('pw'), g=_F1.format('bc'))})")
     sql |= {
         "method_deltas": f"WITH s AS ({' UNION ALL '.join(parts)}), b AS (SELECT * FROM s WHERE method = 'base') SELECT s.method, round(s.pairwise_f1, 6) AS pairwise_f1, round(s.b3_f1, 6) AS b3_f1, s.predicted_clusters, round((s.pairwise_f1 - b.pairwise_f1) * 100, 6) AS pairwise_f1_points, round((s.b3_f1 - b.b3_f1) * 100, 6) AS b3_f1_points, s.predicted_clusters - b.predicted_clusters AS clusters_delta FROM s, b",
+        "best_method": "SELECT method AS best FROM (" + " UNION ALL ".join(
+            f"SELECT '{m}-{k}' AS method, {k} AS position, b3_f1 FROM (WITH {PRED.replace('base AS cluster', f'{m} AS cluster')}, {SCORED} SELECT round({_F1.format('bc')}, 6) AS b3_f1 FROM bc)" for k, m in enumerate(("base", "extension", "extension"))
+        ) + ") ORDER BY b3_f1 DESC, position LIMIT 1",
         "brier": f"WITH {JUDGED} SELECT count(*) AS comparisons, count(*) FILTER (WHERE acc AND label) AS tp, count(*) FILTER (WHERE acc AND NOT label) AS fp, count(*) FILTER (WHERE NOT acc AND label) AS fn, count(*) FILTER (WHERE NOT acc AND NOT label) AS tn, round(avg((p - label::INT) * (p - label::INT)), 6) AS brier_score, round(count(*) FILTER (WHERE acc AND label) / count(*) FILTER (WHERE label), 6) AS recall FROM k",
         "bins": f"WITH {JUDGED}, g AS (SELECT least(9, CAST(floor(p * 10) AS INT)) AS b, count(*) AS n, avg(p) AS m, avg(label::INT) AS o FROM k GROUP BY 1) SELECT round(i / 10.0::DOUBLE, 6) AS lower, round((i + 1) / 10.0::DOUBLE, 6) AS upper, coalesce(n, 0) AS count, round(m, 6) AS mean_probability, round(o, 6) AS observed_same_author_rate FROM (SELECT unnest(range(10)) AS i) LEFT JOIN g ON i = b",
         "align": """

@@ -84,10 +84,14 @@ def q_names_similar(spark, sf_dir):
     return a.join(b, "ambiguous_name").select("ambiguous_name", "a", "b", names.similar_tokens(F.col("ta"), F.col("tb")).alias("fits"))
 
 
+#: Collaborators added to every record: forms of some authors' names and names of nobody.
+ADDED = ("alice silva", "b. wang", "WANG, Bruno", "carla j muller", "silva", "d garcia", "kim elena", "j rossi", "alice j novak junior")
+
+
 def q_focal_exclusion(spark, sf_dir):
-    r = bib(spark, sf_dir).withColumn("with_self", F.array_append("coauthors", F.col("author_name")))
-    tokens = F.transform("with_self", lambda c: text.tokens_of(F.lower(c)))
-    left = F.filter(F.arrays_zip(F.col("with_self").alias("n"), tokens.alias("t")), lambda s: ~names.similar_tokens(s["t"], text.tokens_of(F.lower("author_name"))))
+    r = bib(spark, sf_dir).withColumn("all", F.concat("coauthors", F.array(*map(F.lit, ADDED)), F.array("author_name")))
+    tokens = F.transform("all", lambda c: text.tokens_of(F.lower(c)))
+    left = F.filter(F.arrays_zip(F.col("all").alias("n"), tokens.alias("t")), lambda s: ~names.similar_tokens(s["t"], text.tokens_of(F.lower("author_name"))))
     return r.select("rid", F.array_join(F.array_sort(F.transform(left, lambda s: s["n"])), "|").alias("others"), F.size(left).alias("n_others"))
 
 
@@ -201,6 +205,15 @@ def q_method_deltas(spark, sf_dir):
     return _rounded(metrics.method_deltas(scores, "base"))
 
 
+def q_best_method(spark, sf_dir):
+    """Of three predictors, two of them equal, the first with the best B-cubed F1."""
+    p, scores = predicted(spark, sf_dir), None
+    for position, m in enumerate(("base", "extension", "extension")):
+        one = metrics.bcubed(p.select("block", "label", F.col(m).alias("cluster"))).select(F.lit(f"{m}-{position}").alias("method"), F.lit(position).alias("position"), F.round("b3_f1", 6).alias("b3_f1"))
+        scores = one if scores is None else scores.unionByName(one)
+    return metrics.best_method(scores)
+
+
 def q_brier(spark, sf_dir):
     return _rounded(metrics.judged_counts(judged(spark, sf_dir), 0.7))
 
