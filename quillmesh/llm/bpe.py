@@ -228,7 +228,12 @@ def encoder(path: str, pattern: str) -> ByteBPE:
 
 
 def encoded(docs: DataFrame, outputs=("ids", "n_tokens"), text: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """docs with the columns named in `outputs`; decoded_sha256 is of the bytes that decoding the ids gives back."""
+    """docs with the columns named in `outputs`; decoded_sha256 is of the bytes that decoding the ids gives back.
+
+    Texts are taken in pieces where the default pattern always breaks; another pattern, which may not, is refused.
+    """
+    if pattern != public_tokenizers.PATTERN:
+        raise ValueError("the pieces of a text are known for the default pattern only")
     path = path or public_tokenizers.path(VOCABULARY)
     keep = [c for c in docs.columns if c.lower() not in outputs]
     docs = docs.select(*[f"`{c}`" for c in keep])

@@ -23,7 +23,7 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: A source's offset comes from the first 8 hexadecimal digits of md5(seed:source).
 SEED = 17
-#: Hexadecimal digits of md5(doc_id) that split a hot size bin; 4,096 parts.
+#: Hexadecimal digits of md5(doc_id), of a hash of the text where that is null, that split a hot size bin; 4,096 parts.
 SALT_DIGITS = 3
 
 
@@ -86,7 +86,7 @@ def _sampled(rows: DataFrame, tie: str, weights, most: int, seed: int, source: s
     keys = {
         skey: source_key(F.col(source)),
         bin_: F.length(digits) * 100 + F.substring(digits, 1, 2).cast("int"),
-        salt: F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), 1, SALT_DIGITS),
+        salt: F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.col(tie).cast("string")).cast("binary")), 1, SALT_DIGITS),
     }
     rows = rows.withColumns(keys)
     group = [skey, bin_, salt]

@@ -24,15 +24,17 @@ STOP_WORDS = {
     "de": "der die das und in den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über so zum war haben nur oder aber vor zur bis mehr durch man",
     "es": "el la los las de y en que un una del se por con no para su al lo como más o pero sus le ya es este sí porque esta entre cuando muy sin sobre",
 }
-#: metric, comparison that rejects, bound. Ratios are integer comparisons: 100 * part against bound * whole.
+#: metric, comparison that rejects, bound, texts that the rule is for. Ratios are integer comparisons: 100 * part against
+#: bound * whole. "latin" are texts of less than 1.5 bytes a character: the stop words, and words of that length between
+#: spaces, say nothing of texts in other scripts.
 RULES = (
-    ("n_words", "<", 10),
-    ("repeat_word_pct", ">", 20),
-    ("mean_word_chars", "<", 2),
-    ("mean_word_chars", ">", 20),
-    ("symbol_pct", ">", 30),
-    ("stop_word_pct", "<", 2),
-    ("dup_line_pct", ">", 50),
+    ("n_words", "<", 10, "all"),
+    ("repeat_word_pct", ">", 20, "all"),
+    ("mean_word_chars", "<", 2, "latin"),
+    ("mean_word_chars", ">", 20, "latin"),
+    ("symbol_pct", ">", 30, "all"),
+    ("stop_word_pct", "<", 2, "latin"),
+    ("dup_line_pct", ">", 50, "all"),
 )
 #: The rules that the base verdict takes; the others refine it.
 BASE = 2
@@ -45,7 +47,7 @@ RATIOS = {
     "stop_word_pct": ("n_stop_words", "n_words", 100),
     "dup_line_pct": ("n_dup_lines", "n_lines", 100),
 }
-METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_lines")
+METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_lines", "text_bytes", "text_chars")
 
 
 def repeat_words(ws: Column, window: int = WINDOW) -> Column:
@@ -85,6 +87,8 @@ def metrics(text: Column) -> Column:
                 repeat_words(ws).cast("long").alias("n_repeat_words"),
                 F.size(F.filter(ws, lambda w: w.isin(stops))).cast("long").alias("n_stop_words"),
                 ln["n"].cast("long").alias("n_lines"),
+                F.octet_length(t).cast("long").alias("text_bytes"),
+                F.length(t).cast("long").alias("text_chars"),
             ),
         )
 
@@ -94,10 +98,12 @@ def metrics(text: Column) -> Column:
 def verdict(rules=RULES) -> Column:
     """True where any rule rejects; a ratio over nothing rejects nothing."""
 
-    def rejects(metric: str, how: str, bound) -> Column:
+    def rejects(metric: str, how: str, bound, texts: str) -> Column:
         part, whole, scale = RATIOS[metric]
         left, right = F.col(part) * scale, F.lit(bound) * (F.col(whole) if whole else F.lit(1))
         hit = left < right if how == "<" else left > right
+        if texts == "latin":
+            hit &= F.col("text_bytes") * 2 < F.col("text_chars") * 3
         return hit if whole is None else hit & (F.col(whole) > 0)
 
     return reduce(Column.__or__, [rejects(*r) for r in rules])
@@ -127,10 +133,11 @@ m AS (
   SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
     CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(p.n, 0) AS BIGINT) AS n_repeat_words,
-    CAST(len(list_filter(ws, lambda w: w IN ({_STOPS}))) AS BIGINT) AS n_stop_words, CAST(len(ls) AS BIGINT) AS n_lines
+    CAST(len(list_filter(ws, lambda w: w IN ({_STOPS}))) AS BIGINT) AS n_stop_words, CAST(len(ls) AS BIGINT) AS n_lines,
+    CAST(strlen(text) AS BIGINT) AS text_bytes, CAST(length(text) AS BIGINT) AS text_chars
   FROM (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d) d LEFT JOIN p ON d.doc_id = p.doc_id)
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words
-    OR 100 * n_symbols > 30 * n_words OR 100 * n_stop_words < 2 * n_words)) OR (n_lines > 0 AND 100 * n_dup_lines > 50 * n_lines)) AS kept
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR (n_words > 0 AND (100 * n_symbols > 30 * n_words
+    OR (2 * text_bytes < 3 * text_chars AND (word_chars < 2 * n_words OR word_chars > 20 * n_words OR 100 * n_stop_words < 2 * n_words)))) OR (n_lines > 0 AND 100 * n_dup_lines > 50 * n_lines)) AS kept
 FROM m
 """
