@@ -36,21 +36,47 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables written by cut() within the innermost settled() that runs.
+_scopes: list[list[str]] = []
+
+
 def cut(df: DataFrame, name: str = "cut", codec: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    # Hashes and sums hardly repeat: a dictionary of them is work for nothing.
+    words = any(kind in t for _, t in df.dtypes for kind in ("string", "binary"))
+    df.write.option("compression", codec).option("parquet.enable.dictionary", str(words).lower()).parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the files of a table that cut() wrote and nothing will read again."""
-    spark = df.sparkSession
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+def settled(name: str, make) -> DataFrame:
+    """cut(make()), after which the tables that make() wrote on its way are deleted."""
+    _scopes.append([])
+    try:
+        made = make()
+        kept = len(_scopes[-1])
+        done = cut(made, name)
+    finally:
+        paths = _scopes.pop()
+    remove(done.sparkSession, paths[:kept])
+    if _scopes:
+        _scopes[-1] += paths[kept:]
+    return done
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for file in paths:
         path = spark._jvm.org.apache.hadoop.fs.Path(file)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete the files of a table that cut() wrote and nothing will read again."""
+    remove(df.sparkSession, list({f.rsplit("/", 1)[0] for f in df.inputFiles()}))
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value computed once for each row however often body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -140,6 +166,11 @@ SHARES = 1000
 COOL = 256
 
 
+def small_enough(table: DataFrame, items: Column, most: int) -> bool:
+    """Whether a cut table may be broadcast: items counts what a row holds, which bounds its bytes."""
+    return (table.agg(F.sum(items)).first()[0] or 0) <= most
+
+
 def skew_join(rows: DataFrame, facts: DataFrame, on: list[str], n: str, ready: bool = False) -> DataFrame:
     """rows joined to facts, which has one row for each key with the number of its rows as n; ready: facts is a cut table.
 

@@ -30,8 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = skew_join(large, least, ["u"], "many")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).distinct()
         before, now = now, cut(small, "edges")
-        drop(before)
-        drop(large)
+        for done in (before, large):
+            drop(done)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component_id"))
 
 

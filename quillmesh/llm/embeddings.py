@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, skew_join
+from .common import cut, settled, skew_join
 from .components import components
 
 COSINE = 0.9
@@ -276,7 +276,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int | Non
     if found is None:
         found = classes.select(*key, F.col("size").alias("links"), "rep", F.col("rep").alias("other"))
     found = cut(found, "tilelinks")
-    nodes = components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")))
+    nodes = settled("nodes", lambda: components(found.select(F.col("rep").alias("a"), F.col("other").alias("b"))))
     links = found.groupBy(*key).agg(F.sum("links").alias("links"))
     facts = classes.select(*key, "rep", "size").join(links, key, "left").join(nodes.withColumnRenamed("node", "rep"), "rep", "left")
     facts = facts.select(*key, (F.col("size") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"), "size")

@@ -22,7 +22,7 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, drop, flagged, key_filter, let, own_name, skew_join, thin
+from .common import SPACES, cut, drop, flagged, key_filter, let, own_name, settled, skew_join, small_enough, thin
 from .neighbours import linked_components, may_link, shared_buckets
 
 SHINGLE = 9
@@ -43,6 +43,8 @@ BANDS = (
 LEADING = ((160, 5), (320, 6))
 #: Words of 64 bits of a set's odd sketch.
 WORDS = 16
+#: Removed lines, with four more for each of their documents, up to which they are broadcast: some 40 MB.
+BROADCAST = 2_000_000
 #: Bytes of a character in wide().
 WIDE = 4
 
@@ -137,7 +139,7 @@ def linked_lines(places: DataFrame, lines: DataFrame, docs: DataFrame, doc_id: s
     texts = cut(texts.select("id", "twin", normal(F.col("raw")).alias("line")).dropDuplicates(["id"]), "linetexts")
     sets = texts.select("id", F.col("line").alias("facts")).join(small_sets(texts), "id")
     sets = cut(sets.select("id", F.struct("n", "bits").alias("small"), "facts"), "linesets")
-    found = cut(linked_components(live, sets, may_link(percent, WORDS), linked_at(percent)), "linecomponents")
+    found = settled("linecomponents", lambda: linked_components(live, sets, may_link(percent, WORDS), linked_at(percent)))
     every = found.select(F.col("node").alias("id"), F.col("component_id").alias("comp"))
     every = every.unionAll(found.select(F.col("component_id").alias("id"), F.col("component_id").alias("comp")).distinct())
     # A line whose hash another line shares by chance is not taken for it: both hashes must agree.
@@ -172,26 +174,52 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percen
 def without_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, added: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
     """docs with the kept lines as text, plus the numbers of all and of removed lines under the names `added`."""
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in added])
-    gone = cut(removals(docs, doc_id, text, percent), "gone")
+    gone = settled("gone", lambda: removals(docs, doc_id, text, percent))
     doc, version, maybe, removed = (own_name(docs, c) for c in ("doc", "version", "maybe", "gone"))
-    # Documents that lose nothing need no shuffle: most are told apart by a bit set of fixed size.
-    marked = flagged(docs, F.col(doc_id).cast("long"), key_filter(gone, F.col("doc")), maybe)
     lines = F.split(F.col(text), "\n", -1)
     n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines))
-    rest = marked.where(f"NOT `{maybe}`").withColumns({added[0]: n_lines, added[1]: F.lit(0)})
-    hit = marked.where(f"`{maybe}`").withColumns({version: F.xxhash64(text), doc: F.col(doc_id).cast("long")})
-    hit = hit.join(gone.select(F.col("doc").alias(doc), F.col("version").alias(version), F.col("gone").alias(removed)), [doc, version], "left")
+    told = gone.select(F.col("doc").alias(doc), F.col("version").alias(version), F.col("gone").alias(removed))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(removed))
     # The split lines are bound once; looking one up is then constant time.
     rebuilt = let(lines, lambda ls: F.array_join(F.transform(kept, lambda i: F.get(ls, i)), "\n"))
-    hit = hit.withColumns({
-        added[0]: n_lines,
-        added[1]: F.coalesce(F.size(removed), F.lit(0)),
-        text: F.when(F.col(removed).isNull(), F.col(text)).otherwise(rebuilt),
-    })
+
+    def marked(rows: DataFrame, told: DataFrame) -> DataFrame:
+        rows = rows.withColumns({version: F.xxhash64(text), doc: F.col(doc_id).cast("long")}).join(told, [doc, version], "left")
+        return rows.withColumns({added[0]: n_lines, added[1]: F.coalesce(F.size(removed), F.lit(0)), text: F.when(F.col(removed).isNull(), F.col(text)).otherwise(rebuilt)})
+
     pick = [F.col(f"`{c}`") for c in (*docs.columns, *added)]
-    return rest.select(*pick).unionByName(hit.select(*pick))
+    if small_enough(gone, F.size("gone") + 4, BROADCAST):
+        return marked(docs, F.broadcast(told)).select(*pick)
+    # Documents that lose nothing need no shuffle: most are told apart by a bit set of fixed size.
+    flags = flagged(docs, F.col(doc_id).cast("long"), key_filter(gone, F.col("doc")), maybe)
+    rest = flags.where(f"NOT `{maybe}`").withColumns({added[0]: n_lines, added[1]: F.lit(0)})
+    return rest.select(*pick).unionByName(marked(flags.where(f"`{maybe}`"), told).select(*pick))
 
 
 def op9_fuzzy_lines(spark, sf_dir: str) -> DataFrame:
     return without_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+#: Every pair of lines at 0.8, exactly, for small tables: two such sets share one of the rarest fifth of either's shingles.
+SQL = r"""
+WITH RECURSIVE o AS (
+  SELECT doc_id, i AS line_no, lower(trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS line
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)),
+t AS (SELECT * FROM o WHERE line <> ''),
+d AS (SELECT line, row_number() OVER (ORDER BY line) AS id FROM (SELECT DISTINCT line FROM t)),
+s AS MATERIALIZED (SELECT id, list_distinct(list_transform(range(1, greatest(length(line) - 7, 2)), lambda p: substr(line, p, 9))) AS sh FROM d),
+u AS (SELECT id, len(sh) AS n, unnest(sh) AS x FROM s),
+f AS (SELECT x, count(*) AS c FROM u GROUP BY x),
+g AS (SELECT id, x FROM (SELECT id, n, u.x, row_number() OVER (PARTITION BY id ORDER BY c, u.x) AS k FROM u JOIN f ON u.x = f.x) WHERE k <= n - (8 * n + 9) // 10 + 1),
+p AS (SELECT DISTINCT a.id AS a, b.id AS b FROM g a JOIN g b ON a.x = b.x AND a.id < b.id),
+l AS MATERIALIZED (SELECT p.a, p.b FROM p JOIN s x ON x.id = p.a JOIN s y ON y.id = p.b WHERE 180 * len(list_intersect(x.sh, y.sh)) >= 80 * (len(x.sh) + len(y.sh))),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a, a AS b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a AS id, min(b) AS comp FROM r GROUP BY a),
+m AS (SELECT t.doc_id, t.line_no, coalesce(comp, d.id) AS comp FROM t JOIN d ON t.line = d.line LEFT JOIN c ON c.id = d.id),
+k AS (SELECT *, row_number() OVER (PARTITION BY comp ORDER BY doc_id, line_no) = 1 AS first FROM m),
+z AS (SELECT doc_id, list(line_no) AS gone FROM k WHERE NOT first GROUP BY doc_id)
+SELECT documents.doc_id, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda v, i: NOT list_contains(gone, i - 1)), chr(10)) END AS text,
+  CAST(CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END AS INT) AS n_lines, CAST(coalesce(len(gone), 0) AS INT) AS n_removed
+FROM documents LEFT JOIN z ON documents.doc_id = z.doc_id
+"""

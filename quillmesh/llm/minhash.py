@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, key_filter, own_name, skew_join, thin
+from .common import cut, drop, key_filter, own_name, settled, skew_join, thin
 from .components import components
 from .neighbours import linked_components, may_link, shared_buckets
 
@@ -161,7 +161,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     live = shared_buckets(firsts.select("id", "bands"))
     ids = cut(live.select("id").distinct(), "liveids")
     sets = cut(full_sets(docs, cut(firsts.select("id", "same").join(ids, "id"), "liveclasses")), "sets")
-    found = cut(linked_components(live, sets.drop("same"), may_link(percent, SKETCH), linked_at(percent)), "linked")
+    found = settled("linked", lambda: linked_components(live, sets.drop("same"), may_link(percent, SKETCH), linked_at(percent)))
+    for done in (live, sets):
+        drop(done)
     # A doc_id with several texts is one document: it links the classes of its texts.
     several = full.groupBy("id").agg(F.min(F.xxhash64("same")).alias("x"), F.max(F.xxhash64("same")).alias("y")).where("x <> y")
     several = full.join(several.select("id"), "id").select("id", "same").distinct().join(classes, "same").select(F.col("id").alias("a"), F.col("rep").alias("b"))
@@ -176,10 +178,26 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs without the rows whose component has a smaller doc_id; all columns stay."""
-    gone = cut(near_duplicates(docs, percent).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    gone = settled("gone", lambda: near_duplicates(docs, percent).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct())
     key = own_name(docs, "gone")
     return docs.join(gone.withColumnRenamed("gone", key), F.col("doc_id").cast("long") == F.col(key), "left_anti")
 
 
 def op2_minhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+#: Every pair of documents with a shingle in common, exactly: for small tables.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM w),
+h AS (SELECT doc_id, unnest(sh) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM h a JOIN h b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT p.a, p.b FROM p JOIN s x ON x.doc_id = p.a JOIN s y ON y.doc_id = p.b WHERE 100 * c >= 75 * (len(x.sh) + len(y.sh) - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a, a AS b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, coalesce(component_id, s.doc_id) AS component_id, coalesce(component_id, s.doc_id) = s.doc_id AS kept FROM s LEFT JOIN c ON s.doc_id = c.doc_id
+"""

@@ -22,12 +22,14 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    """Tokenizers and MinHash are beyond SQL; their tests hold them against brute force and the libraries."""
+    """Tokenizers are beyond SQL; their tests hold them against the libraries."""
     return {
         "op1_subspace_join": embeddings.SQL,
         "embeddings_planted": embeddings.PLANTED_SQL,
+        "op2_minhash": minhash.SQL,
         "op3_warc_archive": warc.SQL,
         "op5_quality_rules": quality.SQL,
         "op7_chat_perspectives": chat.SQL,
+        "op9_fuzzy_lines": lines.SQL,
         "op10_mixing": mixing.SQL,
     }

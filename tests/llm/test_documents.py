@@ -89,8 +89,8 @@ def test_bpe_frame(spark):
 
 @pytest.mark.parametrize("name", ["piece_bpe_32k.model", "byte_bpe_50k.json"])
 def test_token_counts(spark, tmp_path, name):
-    texts = [t for t in odd_texts() if t is None or len(t) < 4000] + ["same text"] * 30
-    docs, path, cache = frame(spark, texts), public_tokenizers.path(name), f"file://{tmp_path}/cache"
+    texts = [*odd_texts(), "same text and more " * 20_000] + ["same text"] * 30
+    docs, path, cache = frame(spark, texts).withColumns({"N_tokens": F.lit("clash"), "digest": F.lit("clash"), "content": F.lit(1)}), public_tokenizers.path(name), f"file://{tmp_path}/cache"
     if name.endswith(".model"):
         import sentencepiece
 
@@ -189,6 +189,10 @@ def test_quality(spark):
         assert r["base_failed"] == (want[0] < 10 or 100 * want[4] > 20 * want[0])
         assert not (r["base_failed"] and r["kept"])
     assert quality.judged(docs.limit(0)).count() == 0
+    # Clean texts of other scripts have none of the stop words, and no spaces where words end.
+    russian = "Сегодня утром мы пошли к реке и долго смотрели на воду, а потом вернулись домой пить чай."
+    chinese = " ".join(["今天早上我们沿着河边散步看见许多人在那里钓鱼", "后来大家一起回家喝茶聊天直到很晚才去睡觉", *"一二三四五六七八九"])
+    assert [r["kept"] for r in quality.judged(frame(spark, [russian, chinese, "xkcd qwrt " * 3 + " ".join(f"zz{i}" for i in range(20))])).orderBy("doc_id").collect()] == [True, True, False]
 
 
 # --- op10
@@ -229,6 +233,16 @@ def test_mixing(spark):
     assert narrow == again
 
 
+def test_mixing_of_null_and_repeated_ids(spark):
+    rows = [(None, f"text {i} " + "w " * (i % 7), "s") for i in range(40)] + [(5, f"copy {i % 3}", "t") for i in range(30)] + [(6, "w " * 50_000, "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    run = lambda d: sorted((r["doc_id"] or 0, r["text"], r["copies"]) for r in mixing.mix(d).collect())
+    first = run(docs)
+    assert len(first) == len(rows) and first == run(docs.repartition(5))
+    assert all(0 <= c <= 3 for _, _, c in first)
+    assert sum(c for _, _, c in first) > 0
+
+
 # --- op2 and op9
 
 
@@ -319,7 +333,9 @@ def test_minhash_refuses_what_its_minima_miss():
             call(None, percent=50)
 
 
-def test_fuzzy_lines(spark):
+@pytest.mark.parametrize("most", [lines.BROADCAST, 0])
+def test_fuzzy_lines(spark, monkeypatch, most):
+    monkeypatch.setattr(lines, "BROADCAST", most)
     rng = random.Random(11)
     pool = [t for t in variants(3) if t and t.strip()]
     texts = [None, "", "\n \n", "Same line here.\n\nsame line here. \nother words"] + ["\n".join(rng.choice(pool) for _ in range(rng.randint(1, 6))) for _ in range(60)]
