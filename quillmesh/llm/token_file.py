@@ -37,8 +37,9 @@ DIRECTORY = 512
 MAGIC = b"DAC1"
 #: A word that ends in ASCII symbols; an apostrophe may belong to letters.
 TAIL = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]+)")
+SYMBOLS = frozenset(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 #: Entries of one of the two generations of a worker's memo of words.
-MEMO = 350_000
+MEMO = 600_000
 SHARD_SCHEMA = "part int, seq int, part_start long, n_tokens long, doc_ids array<long>, lengths array<long>, codes binary"
 
 
@@ -131,8 +132,7 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.memo: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.memo = Memo()
         separator = self.whole([self.SEPARATOR])[0]
         self.separator = int(separator[0]) if len(separator) == 1 else None
 
@@ -150,12 +150,20 @@ class WordEncoder:
     def learn(self, missing: list[bytes]) -> dict[bytes, bytes]:
         found: dict[bytes, bytes] = {}
         # Letters and the symbols that follow them are separate matches of the pattern.
-        apart = {w: m.groups() for w in missing if (m := TAIL.fullmatch(w)) and b"<|" not in w and self.letters(m[1])}
-        wanted = list({w for w in missing if w not in apart} | {part for parts in apart.values() for part in parts})
-        for start in range(0, len(wanted), 1000):
-            self.learn_some(wanted[start : start + 1000], found)
+        apart = {w: m.groups() for w in missing if w[-1] in SYMBOLS and (m := TAIL.fullmatch(w)) and b"<|" not in w and self.letters(m[1])}
+        wanted = {w for w in missing if w not in apart}
+        known: dict[bytes, bytes] = {}
+        for part in {part for parts in apart.values() for part in parts} - wanted:
+            ids = self.memo.get(part) or self.memo.old.get(part)
+            if ids is None:
+                wanted.add(part)
+            else:
+                known[part] = ids
+        listed = list(wanted)
+        for start in range(0, len(listed), 1000):
+            self.learn_some(listed[start : start + 1000], found)
         for w, (core, tail) in apart.items():
-            found[w] = found[core] + found[tail]
+            found[w] = (known.get(core) or found[core]) + (known.get(tail) or found[tail])
         return found
 
     @staticmethod
@@ -182,18 +190,37 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of every text as little-endian unsigned 32-bit integers."""
+        memo = self.memo
+        get, memo.unknown = memo.__getitem__, set()
         split = [self.words(t) for t in texts]
-        used = set().union(*split)
-        new = used.difference(self.memo)
-        here = {w: v for w in new if (v := self.old.get(w))}
-        here |= self.learn(list(new.difference(here)))
-        if len(self.memo) + len(here) > MEMO:
-            self.old, self.memo = self.memo, {}
-            here |= {w: v for w in used if (v := self.old.get(w))}
-        # One batch may bring more words than the memo holds; all of them are there until the next.
-        self.memo |= here
-        get = self.memo.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+        ids = [list(map(get, ws)) for ws in split]
+        if memo.unknown:
+            learned = self.learn(list(memo.unknown))
+            # One batch may bring more words than the memo holds; they are all known until it is written.
+            ids = [vs if None not in vs else [learned[w] if v is None else v for v, w in zip(vs, ws, strict=True)] for vs, ws in zip(ids, split, strict=True)]
+            if len(memo) + len(learned) > MEMO:
+                self.memo = Memo(memo)
+            self.memo.update(learned)
+        return [b"".join(vs) for vs in ids]
+
+
+class Memo(dict):
+    """Ids of words; what is not there is taken over from the generation before or noted as unknown."""
+
+    def __init__(self, old: Memo | None = None) -> None:
+        self.old: dict[bytes, bytes] = {} if old is None else old
+        self.unknown: set[bytes] = set()
+        if old is not None:
+            # Only one generation before is kept.
+            old.old = {}
+
+    def __missing__(self, word: bytes) -> bytes | None:
+        ids = self.old.get(word)
+        if ids is None:
+            self.unknown.add(word)
+        else:
+            self[word] = ids
+        return ids
 
 
 _encoders: dict[str, WordEncoder] = {}
