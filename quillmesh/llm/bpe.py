@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding by a rank queue under a hierarchical bitmap.
 
-Merging keeps the parts of pre-tokens, of all new ones of a batch at once, in a linked list. Every mergeable pair stands in the bucket of its merge rank; a
-three-level bitmap over the ranks finds the first non-empty bucket with three find-first-set steps; entries whose pair
+Merging keeps the tokens of all new pre-tokens of a batch where they start in one list; the next one stands a token's length
+further on. Pairs of bytes enter the queue sorted, all at once. Every mergeable pair stands in the bucket of its merge rank; a three-level bitmap over the ranks finds the first non-empty bucket with three find-first-set steps; entries whose pair
 has changed meanwhile are stale and skipped. The cost is near linear in the pre-token's length, where scanning for the
 best pair would be quadratic, so a pre-token of a megabyte is no special case.
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -119,67 +120,104 @@ class ByteBPE:
         self.pieces = {rank: token for token, rank in self.ranks.items()}
         self.named = {str(rank): token for token, rank in self.ranks.items()}
         self.bytes = [self.ranks[bytes([b])] for b in range(256)]
-        self.joins: dict[int, int] = {}
+        byte_pairs = [-1] * (1 << 16)
+        for token, rank in self.ranks.items():
+            if len(token) == 2:
+                byte_pairs[token[0] << 8 | token[1]] = rank
+        self.byte_pairs = np.array(byte_pairs)
+        self.shared = np.array(byte_pairs, dtype=object)
+        self.lengths = {rank: len(token) for rank, token in self.pieces.items()}
+        self.written_id = {rank: str(rank) for rank in self.pieces}
+        self.with_next: dict[int, dict[int, int]] = {}
+        self.with_last: dict[int, dict[int, int]] = {}
+        self.n_joins = 0
         self.queue = RankQueue(max(self.pieces) + 1)
         self.split = regex.compile(pattern).findall
         self.pretoken, self.at_start, self.after_space = Memo(), Memo(), Memo()
 
-    def join(self, a: int, b: int) -> int:
-        """The rank of two neighbouring tokens' bytes, or -1."""
-        key = a << 20 | b
-        rank = self.joins.get(key)
-        if rank is None:
-            if len(self.joins) >= JOINS:
-                self.joins.clear()
-            rank = self.joins[key] = self.ranks.get(self.pieces[a] + self.pieces[b], -1)
+    def join(self, known: dict[int, int], key: int, a: int, b: int) -> int:
+        """The rank of two neighbouring tokens' bytes, or -1; `known` remembers it under `key`."""
+        if self.n_joins >= JOINS:
+            for held in (self.with_next, self.with_last):
+                for ranks in held.values():
+                    ranks.clear()
+            self.n_joins = 0
+        self.n_joins += 1
+        rank = known[key] = self.ranks.get(self.pieces[a] + self.pieces[b], -1) if a >= 0 and b >= 0 else -1
         return rank
 
+    def opened(self, pretokens: list[bytes]) -> tuple[list[int], list[int]]:
+        """Ids and pair ranks of all bytes, with an id of -1 after each pre-token; the pairs' positions are in the queue."""
+        joined = b"\0".join(pretokens) + b"\0"
+        raw = np.frombuffer(joined, np.uint8).astype(np.int64)
+        ends = (np.cumsum([len(p) + 1 for p in pretokens]) - 1).tolist()
+        bytes_at = raw[:-1] << 8 | raw[1:]
+        ids, pair, ranks = list(map(self.bytes.__getitem__, joined)), self.shared[bytes_at].tolist(), self.byte_pairs[bytes_at]
+        pair.append(-1)
+        for end in ends:
+            ids[end] = pair[end] = pair[end - 1] = -1
+        ranks[[end - 1 for end in ends]] = -1
+        ranks[ends[:-1]] = -1
+        at = np.flatnonzero(ranks >= 0)
+        at = at[np.argsort(ranks[at], kind="stable")]
+        distinct, starts = np.unique(ranks[at], return_index=True)
+        where, stops = at.tolist(), [*starts.tolist(), len(at)][1:]
+        for rank, start, stop in zip(distinct.tolist(), starts.tolist(), stops, strict=True):
+            self.queue.open(rank, where[start:stop])
+        return ids, pair
+
     def merge(self, pretokens: list[bytes]) -> list[list[int]]:
-        """The ids of many pre-tokens, which stand in one linked list with gaps and go through one queue."""
+        """The ids of many pre-tokens, which stand in one list and go through one queue.
+
+        A token's id and pair are where it starts; `begin` tells for its last byte where that is.
+        """
         out = [[r] if (r := self.ranks.get(p)) is not None else None for p in pretokens]
         long = [p for p, ids in zip(pretokens, out, strict=True) if ids is None]
-        ids: list[int] = []
-        spans = []
-        for p in long:
-            spans.append((len(ids), len(ids) + len(p)))
-            ids += map(self.bytes.__getitem__, p)
-        n, join, queue = len(ids), self.join, self.queue
-        push = queue.push
-        after, before, pair = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
-        for start, end in spans:
-            before[start] = after[end - 1] = -1
-        for i, j in enumerate(after):
-            if j >= 0 and (rank := join(ids[i], ids[j])) >= 0:
-                pair[i] = rank
-                push(rank, i)
+        if not long:
+            return out
+        ids, pair = self.opened(long)
+        begin = list(range(len(ids)))
+        join, queue, lengths = self.join, self.queue, self.lengths
+        bucket_of, push = queue.buckets.get, queue.push
         while (rank := queue.first()) >= 0:
-            bucket = queue.take(rank)
+            bucket, length = queue.take(rank), lengths[rank]
+            with_next, with_last = self.with_next.setdefault(rank, {}), self.with_last.setdefault(rank, {})
+            next_rank, last_rank = with_next.get, with_last.get
             for at, i in enumerate(bucket, 1):
                 if pair[i] != rank:
                     continue
-                j = after[i]
-                k = after[i] = after[j]
-                ids[i], ids[j], pair[j] = rank, -1, -1
-                right = left = -1
-                if k >= 0:
-                    before[k] = i
-                    if (right := join(rank, ids[k])) >= 0:
-                        push(right, i)
+                j, k, p = i + lengths[ids[i]], i + length, begin[i - 1]
+                ids[i], ids[j], pair[j], begin[k - 1] = rank, -1, -1, i
+                if (right := next_rank(x := ids[k])) is None:
+                    right = join(with_next, x, rank, x)
                 pair[i] = right
-                if (p := before[i]) >= 0:
-                    if (left := join(ids[p], rank)) >= 0:
+                if right >= 0:
+                    if (others := bucket_of(right)) is not None:
+                        others.append(i)
+                    else:
+                        push(right, i)
+                if (left := last_rank(x := ids[p])) is None:
+                    left = join(with_last, x, x, rank)
+                pair[p] = left
+                if left >= 0:
+                    if (others := bucket_of(left)) is not None:
+                        others.append(p)
+                    else:
                         push(left, p)
-                    pair[p] = left
                 if 0 <= right < rank or 0 <= left < rank:
                     # A pair of a smaller rank has come up: it goes first, the rest of this bucket waits.
                     if rest := bucket[at:]:
                         queue.open(rank, rest)
                     break
-        found = iter([[x for x in ids[start:end] if x >= 0] for start, end in spans])
+        start, merged = 0, []
+        for p in long:
+            merged.append([x for x in ids[start : start + len(p)] if x >= 0])
+            start += len(p) + 1
+        found = iter(merged)
         return [next(found) if x is None else x for x in out]
 
     def name_pretokens(self, pretokens: list[str]) -> dict[str, str]:
-        return {p: " ".join(map(str, ids)) for p, ids in zip(pretokens, self.merge([p.encode() for p in pretokens]), strict=True)}
+        return {p: " ".join(map(self.written_id.__getitem__, ids)) for p, ids in zip(pretokens, self.merge([p.encode() for p in pretokens]), strict=True)}
 
     def name_chunks(self, lead: str, chunks: list[str]) -> dict[str, str]:
         """Chunks with white space at an edge are left out: the pattern must see the whole text."""

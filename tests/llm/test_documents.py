@@ -66,6 +66,22 @@ def test_rank_queue_pops_in_order():
     assert not queue.top and not any(queue.low) and not any(queue.mid)
 
 
+def test_bpe_joins_neighbours_once(monkeypatch):
+    rng = random.Random(3)
+    words = [w.encode() for w in {"".join(rng.choice(["an", "eß", "th", "aa", "\0", "ç", "🙂", "ung"]) for _ in range(rng.randint(2, 12))) for _ in range(2000)}]
+    own, lib, looked = bpe.ByteBPE(public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN), tiktoken_encoding(), []
+    join = own.join
+    monkeypatch.setattr(own, "join", lambda *a: looked.append(a) or join(*a))
+    once = own.merge(words)
+    assert once == [lib._encode_single_piece(w) for w in words]
+    # Pairs of bytes come from a table; later ones are looked up when they are new, not each time that they come up.
+    assert len(looked) < sum(map(len, words)) / 4
+    looked.clear()
+    assert own.merge(words[::-1]) == once[::-1] and not looked
+    monkeypatch.setattr(bpe, "JOINS", 50)
+    assert own.merge(words) == once
+
+
 def test_bpe_frame(spark):
     texts = odd_texts()
     docs = frame(spark, texts).withColumn("N_TOKENS", F.lit("clash"))
