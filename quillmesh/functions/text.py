@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +20,7 @@ STOP_WORDS = (
     "a about after an and are as at based be between by for from in into is it of on or over study the their "
     "through to toward towards under using via was we were with without"
 ).split()
+_STOP = frozenset(STOP_WORDS)
 
 
 def folded_text(value: str) -> str:
@@ -57,14 +61,21 @@ def counts(words: Column) -> Column:
 
 
 @F.arrow_udf(T.MapType(T.StringType(), T.IntegerType()))
-def _stemmed_counts(lists: pa.Array) -> pa.Array:
-    maps = [list(Counter(map(stem, ws or ())).items()) for ws in lists.to_pylist()]
-    return pa.array(maps, pa.map_(pa.string(), pa.int32()))
+def _stemmed_counts(texts: pa.Array) -> pa.Array:
+    """Each distinct text of a batch is looked at once, each word stemmed once as long as it is remembered."""
+    coded = texts.dictionary_encode()
+    maps = [list(Counter(x for w in re.findall("[a-z0-9]+", folded_text(t)) if (x := _content_stem(w))).items()) for t in coded.dictionary.to_pylist()]
+    return pa.DictionaryArray.from_arrays(pc.fill_null(coded.indices, len(maps)), pa.array([*maps, []], pa.map_(pa.string(), pa.int32()))).dictionary_decode()
+
+
+@lru_cache(maxsize=1 << 16)
+def _content_stem(word: str) -> str:
+    return "" if len(word) < 2 or word in _STOP else stem(word)
 
 
 def terms(text: Column) -> Column:
     """Stemmed content words with their counts."""
-    return _stemmed_counts(content_words(text))
+    return _stemmed_counts(text)
 
 
 def sparse_cosine(left: Column, right: Column) -> Column:

@@ -90,9 +90,8 @@ ADDED = ("alice silva", "b. wang", "WANG, Bruno", "carla j muller", "silva", "d
 
 def q_focal_exclusion(spark, sf_dir):
     r = bib(spark, sf_dir).withColumn("all", F.concat("coauthors", F.array(*map(F.lit, ADDED)), F.array("author_name")))
-    tokens = F.transform("all", lambda c: text.tokens_of(F.lower(c)))
-    left = F.filter(F.arrays_zip(F.col("all").alias("n"), tokens.alias("t")), lambda s: ~names.similar_tokens(s["t"], text.tokens_of(F.lower("author_name"))))
-    return r.select("rid", F.array_join(F.array_sort(F.transform(left, lambda s: s["n"])), "|").alias("others"), F.size(left).alias("n_others"))
+    r = r.select("rid", names.others("all", "author_name").alias("left"))
+    return r.select("rid", F.array_join(F.sort_array("left"), "|").alias("others"), F.size("left").alias("n_others"))
 
 
 def q_doc_normalize(spark, sf_dir):
@@ -273,9 +272,8 @@ def q_pair_sample(spark, sf_dir):
 
 
 def q_shared_coauthors(spark, sf_dir):
-    r = bib(spark, sf_dir).select("ambiguous_name", "rid", F.explode(F.array_distinct(F.flatten(F.transform("coauthors", lambda c: names.keys_of_tokens(text.tokens_of(F.lower(c))))))).alias("key"))
-    a, b = r.withColumnRenamed("rid", "a"), r.withColumnRenamed("rid", "b")
-    return a.join(b, ["ambiguous_name", "key"]).where("a < b").groupBy("ambiguous_name", "a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    r = bib(spark, sf_dir).select(F.col("ambiguous_name").alias("block"), "rid", names.keys_of_names("coauthors").alias("keys"))
+    return sampling.shared_keys(r).withColumnRenamed("block", "ambiguous_name")
 
 
 def q_cache_lookup(spark, sf_dir):

@@ -122,8 +122,8 @@ def bib_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = items.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
     place = F.struct("l_linenumber", "l_partkey", "l_suppkey", "p_name")
     told = lines.groupBy("l_orderkey").agg(
-        F.array_sort(F.collect_set("s_name")).alias("coauthors"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(place)), lambda s: s["p_name"]), " ").alias("title"),
+        F.sort_array(F.collect_set("s_name")).alias("coauthors"),
+        F.array_join(F.sort_array(F.collect_list(place))["p_name"], " ").alias("title"),
         F.min("p_type").alias("venue"),
     )
     block = F.floor(F.col("o_custkey") / 10)
