@@ -33,8 +33,10 @@ COSINE = 0.9
 WIDTHS = (4, 8, 16, 32)
 #: Vectors that decide the width and where cells are cut; a cell has at least LEAF of them.
 SAMPLE, LEAF = 20_000, 8
-#: Rows of a tile: two of them, with their vectors, are what one task holds at a time.
-TILE = 8_192
+#: Rows of a tile: two of them, with their vectors, are what one task holds at a time. Every row is sent to every tile
+#: that it may meet: tiles grow with the rows from the first size to the second, so that up to TILES * TILE_MOST rows what
+#: is sent grows as the rows do.
+TILE, TILE_MOST, TILES = 8_192, 98_304, 16
 #: Added to every budget against rounding; verification is exact.
 SLACK = 1e-6
 ROWS = 4096
@@ -194,10 +196,14 @@ def sampled(classes: DataFrame, dim: int) -> np.ndarray:
     return unit(np.array([r[0] for r in rows], "f8").reshape(-1, dim))
 
 
-def planned(classes: DataFrame, dim: int, cosine: float, block: int | None) -> Blocks:
-    """Blocks of the given width, or of that among WIDTHS which compares the fewest pairs of the sample."""
-    moments, sample, n = second_moments(classes, dim), sampled(classes, dim), classes.count()
-    leaf = max(LEAF, len(sample) * TILE // max(n, 1))
+def tile_rows(n: int) -> int:
+    return min(max(TILE, n // TILES), max(TILE, TILE_MOST))
+
+
+def planned(classes: DataFrame, dim: int, cosine: float, block: int | None, n: int) -> Blocks:
+    """Blocks of the given width, or of that among WIDTHS which compares the fewest pairs of the sample of n classes."""
+    moments, sample = second_moments(classes, dim), sampled(classes, dim)
+    leaf = max(LEAF, len(sample) * tile_rows(n) // max(n, 1))
     plans = []
     for width in [block] if block else sorted({min(w, dim) for w in WIDTHS}):
         blocks = Blocks(moments, cosine, width)
@@ -207,7 +213,8 @@ def planned(classes: DataFrame, dim: int, cosine: float, block: int | None) -> B
 
 def joined(classes: DataFrame, dim: int, cosine: float, block: int | None) -> DataFrame:
     """(cid, twin, links, rep, other): partial numbers of links of classes, and edges rep - other."""
-    blocks = planned(classes, dim, cosine, block)
+    n = classes.count()
+    blocks, rows = planned(classes, dim, cosine, block, n), tile_rows(n)
     names = ["cid", "twin", "rep", "size", "vector"]
 
     def place(batches):
@@ -228,7 +235,7 @@ def joined(classes: DataFrame, dim: int, cosine: float, block: int | None) -> Da
     kind = "cid long, twin long, rep long, size long, vector " + classes.schema["vector"].dataType.simpleString()
     placed = classes.select(*names).mapInArrow(place, f"{kind}, block int, cell int, guest boolean")
     # As many rows as there are cells, which SAMPLE bounds: it can be broadcast.
-    count = lambda guest: F.ceil(F.count(F.when(F.col("guest") == guest, 1)) / F.lit(TILE)).cast("int")
+    count = lambda guest: F.ceil(F.count(F.when(F.col("guest") == guest, 1)) / F.lit(rows)).cast("int")
     tiles = cut(placed.groupBy("block", "cell").agg(count(False).alias("own"), count(True).alias("others")), "tiles")
     mine = F.when(F.col("guest"), F.col("others")).otherwise(F.col("own"))
     placed = placed.join(F.broadcast(tiles), ["block", "cell"]).withColumn("tile", F.pmod(F.xxhash64("cid"), mine).cast("int"))
