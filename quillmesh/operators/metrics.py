@@ -6,9 +6,13 @@ cells, never joins back to the records.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .groups import grouped
+
 
 def choose2(n: Column) -> Column:
     return F.call_function("div", n * (n - 1), F.lit(2))
@@ -119,30 +123,43 @@ def evaluate(pairs: DataFrame) -> DataFrame:
     return rates(overall(counted).where("records > 0"), *facts).join(purity_means(purity_of(counted)))
 
 
+def pair_sums(pairs: DataFrame, names: list[str], subsets: dict[str, tuple[str, ...]]) -> DataFrame:
+    """One row: for each subset of names the number of record pairs within blocks that agree in all of it.
+
+    Blocks are counted one after the other, so that a task holds one block's rows, not the groups of all its blocks.
+    """
+
+    def count(batches):
+        sums = dict.fromkeys(subsets, 0)
+        for _, table in grouped(batches, ["block"]):
+            codes = {c: table.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype("i8") for c in names}
+            for subset, held in subsets.items():
+                key = np.zeros(table.num_rows, "i8")
+                for c in held:
+                    # Numbered again after each column: products of the columns' sizes stay below the square of the rows.
+                    key = np.unique(key * (codes[c].max() + 1) + codes[c], return_inverse=True)[1]
+                n = np.bincount(key)
+                sums[subset] += int((n * (n - 1) // 2).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in sums.values()], names=list(sums))
+
+    rows = pairs.select("block", *names).repartition("block").sortWithinPartitions("block")
+    counted = rows.mapInArrow(count, ", ".join(f"`{s}` long" for s in subsets))
+    return counted.agg(*[F.coalesce(F.sum(s), F.lit(0).cast("long")).alias(s) for s in subsets])
+
+
 def confusion_by_block(pairs: DataFrame) -> DataFrame:
     """tp, fp, fn, tn over record pairs within blocks, from pair counts instead of pairs."""
-    grouped = pairs.groupingSets([["block"], ["block", "label"], ["block", "cluster"], ["block", "label", "cluster"]], "block", "label", "cluster")
-    sized = grouped.agg(F.count(F.lit(1)).alias("n"), F.grouping("label").alias("gl"), F.grouping("cluster").alias("gc"))
-    part = lambda gl, gc: F.coalesce(F.sum(F.when((F.col("gl") == gl) & (F.col("gc") == gc), choose2(F.col("n")))), F.lit(0).cast("long"))
-    sums = sized.agg(part(1, 1).alias("all"), part(0, 1).alias("true"), part(1, 0).alias("predicted"), part(0, 0).alias("tp"))
+    sums = pair_sums(pairs, ["label", "cluster"], {"all": (), "true": ("label",), "predicted": ("cluster",), "tp": ("label", "cluster")})
     return sums.select("tp", (F.col("predicted") - F.col("tp")).alias("fp"), (F.col("true") - F.col("tp")).alias("fn"), (F.col("all") - F.col("predicted") - F.col("true") + F.col("tp")).alias("tn"))
 
 
 def error_changes(pairs: DataFrame) -> DataFrame:
     """Merges and splits that `extension` corrects or introduces against `base`, over pairs within blocks.
 
-    pairs: block, label, base, extension. Eight grouping sets replace the enumeration of pairs.
+    pairs: block, label, base, extension. Six counts replace the enumeration of pairs.
     """
-    sets = [["block", *s] for s in ([], ["label"], ["base"], ["extension"], ["label", "base"], ["label", "extension"], ["base", "extension"], ["label", "base", "extension"])]
-    tags = {c: F.grouping(c).alias(f"g_{c}") for c in ("label", "base", "extension")}
-    sized = pairs.groupingSets(sets, "block", "label", "base", "extension").agg(F.count(F.lit(1)).alias("n"), *tags.values())
-
-    def total(*held: str) -> Column:
-        here = [F.col(f"g_{c}") == (0 if c in held else 1) for c in ("label", "base", "extension")]
-        return F.coalesce(F.sum(F.when(here[0] & here[1] & here[2], choose2(F.col("n")))), F.lit(0).cast("long"))
-
-    s = {name: total(*held) for name, held in {"b": ["base"], "e": ["extension"], "lb": ["label", "base"], "le": ["label", "extension"], "be": ["base", "extension"], "lbe": ["label", "base", "extension"]}.items()}
-    sums = sized.agg(*[v.alias(k) for k, v in s.items()])
+    l, b, e = "label", "base", "extension"
+    sums = pair_sums(pairs, [l, b, e], {"b": (b,), "e": (e,), "lb": (l, b), "le": (l, e), "be": (b, e), "lbe": (l, b, e)})
     return sums.select(
         F.expr("(b - lb) - (be - lbe)").alias("merges_corrected"),
         F.expr("(e - le) - (be - lbe)").alias("merges_introduced"),
